@@ -40,8 +40,8 @@ runs as (select *, row_number() over (order by cap / w, n) as k,
     sum(cap) over (order by cap / w, n rows unbounded preceding) - cap as caps_before,
     sum(w) over () - sum(w) over (order by cap / w, n rows unbounded preceding) + w as w_rest from named),
 lev as (select *, (budget - caps_before) / w_rest as lvl from runs),
-fit as (select arg_min(lvl, k) as lambda from lev where lvl <= cap / w),
-rates as (select source, source_size, case when lambda is null then cap else least(cap, w * lambda) end as target from lev left join fit on true),
+fit as (select arg_min(lvl, k) as best from lev where lvl <= cap / w),
+rates as (select source, source_size, case when best is null then cap else least(cap, w * best) end as target from lev left join fit on true),
 mixed as (select d.doc_id, d.size, r.source_size, r.target, case when r.source_size > 0 then r.target / r.source_size else 0 end as rate,
     cast(('0x' || substr(md5('mix-1:' || coalesce(cast(d.doc_id as varchar), '')), 1, 8)) as bigint) / 4294967296.0::double as u
     from d join rates r on d.source is not distinct from r.source)
