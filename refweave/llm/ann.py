@@ -108,8 +108,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int, block: int = BLOCK, query
     used = materialize(used.withColumn("dim", F.size("v")), "vectors")
     n, nq, dim = used.agg(F.count(F.lit(1)), F.count_if(is_query), F.coalesce(F.max("dim"), F.lit(1))).first()
     blocks, query_blocks = max(1, math.ceil(n * dim / block)), max(1, math.ceil(nq * dim / query_block))
-    data = used.withColumns({"b": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long")})
-    asked = used.where(is_query).withColumns({"q": F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")})
+    data = used.withColumns({"b": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))})
+    asked = used.where(is_query).withColumns({"q": F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
 
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -78,7 +78,7 @@ def pieces(page: str) -> list[Piece]:
             return
         plain = html.unescape(raw) if "&" in raw else raw
         count = len(plain.split())
-        where = "boiler" if boiler else "link" if link else "main" if main else "word"
+        where = "boiler" if boiler else "main" if main else "link" if link else "word"
         out.append(Piece(where, count, plain, block, not boiler))
 
     def close(k: int) -> None:
@@ -146,7 +146,8 @@ def labelled(pages: int = PAGES, seed: int = SEED) -> list[tuple[str, str]]:
     for _ in range(pages):
         links = "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(3, 12)))
         menu = rng.choice((f"<nav><ul>{links}</ul></nav>", f"<ul>{links}</ul>", f'<div class="menu">{links}</div>'))
-        paras = "".join(f"<p>{words(5, 80)}</p>" for _ in range(rng.randint(1, 12)))
+        inline = lambda: rng.choice(("", f" <b>{words(1, 3)}</b> ", f' <a href="/x">{words(1, 3)}</a> ', f"<br><i>{words(1, 9)}</i> "))
+        paras = "".join(f"<p>{words(1, 40)}{inline()}{words(0, 40)}{inline()}</p>" for _ in range(rng.randint(1, 12)))
         body = f"<h1>{words(2, 9)}</h1>{paras}"
         body = rng.choice((f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"))
         ad = rng.choice(("", f'<div class="ad">{words(3, 12)}</div>', f"<aside>{words(3, 20)}</aside>"))

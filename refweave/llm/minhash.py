@@ -35,6 +35,7 @@ BANDS, ROWS = 24, 4
 #: A stream is cut off by the signature alone; batches are cut at this many bytes of text.
 BATCH_BYTES = 4 << 20
 _U = np.uint64
+MASK = (1 << 64) - 1
 _P = _U(0x9E3779B97F4A7C15)
 
 
@@ -117,13 +118,13 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: i
     low = 1
     while (more := weight > low).any():  # interval [low, 2 low), as long as any weight reaches into it
         d, e = doc[more], element[more]
-        streams.append((d, mixed(element[more] + _P * _U(low)), weight[more], np.full(len(d), float(low)), np.full(len(d), low)))
+        streams.append((d, mixed(element[more] + _U(int(_P) * low & MASK)), weight[more], np.full(len(d), float(low)), np.full(len(d), low)))
         low *= 2
     d, key, w, rate, low_ = (np.concatenate(x) for x in zip(*streams, strict=True))
     time, t = np.zeros(len(d)), 0
     while len(d):
         t += 1
-        draw = mixed(key + _P * _U(t))
+        draw = mixed(key + _U(int(_P) * t & MASK))
         u = ((draw >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
         time = time - np.log(u) / (rate * m)
         other = mixed(draw ^ _U(0xD6E8FEB86659FD93))

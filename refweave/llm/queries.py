@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality
+from . import ann, htmltext, minhash, mixing, pii, quality, secrets, sentencepiece, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +17,57 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pii": op1_pii,
-    "op4_mixing": op4_mixing,
-    "op9_quality": op9_quality,
+    f.__name__: f
+    for f in (op1_pii, op2_sentencepiece, op3_warc, op4_mixing, op5_minhash, op6_neighbours, op7_secrets, op8_urls, op9_quality, op10_html)
 }
 
+OP3 = r"""
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+h as (select page_id, octet_length(b) as n, sha1(b) as x from p),
+d as (select page_id, n, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(x, 1 + 5 * i, 5) as bigint) >> k) & 31)::int, 1)), '')), '') as payload_digest from h),
+f as (select *, min(page_id) over (partition by payload_digest) as m from d)
+select page_id, cast(n as bigint) as payload_bytes, payload_digest, case when page_id = m then 'response' else 'revisit' end as record_type,
+    case when page_id = m then null else m end as refers_to from f
+"""
+
 OP4 = r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
 per as (select source, cast(sum(size) as bigint) as source_size from d group by source),
@@ -69,4 +106,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from judged join verdict on judged.source is not distinct from verdict.source
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4, "op9_quality": OP9}
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op4_mixing": OP4, "op9_quality": OP9}
