@@ -1,6 +1,404 @@
-"""Queries by name and their SQL."""
+"""Queries by name and their SQL; the views of the SQL are those of views.py, written independently."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import matching, model, ranking, sampling, splits, stats, tfidf
+from ..sources import bibtex, papers
+from . import views
+
+THRESHOLD, NEGATIVES, SEED = 0.7, 10, 23120334
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+VIEWS = r"""
+with dd as (select doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')[1:12], lambda x: lower(x)) as words from documents),
+dv as (select dd.doc_id, words, year(o_orderdate) as y, p.p_name as name, q.p_name as next_name, 'p' || lpad(cast(dd.doc_id // 40 as varchar), 5, '0') as paper_id
+    from dd left join orders on o_orderkey = dd.doc_id left join part p on p.p_partkey = dd.doc_id left join part q on q.p_partkey = dd.doc_id + 1),
+bib as (select paper_id, cast(doc_id as int) as ord, 'k' || doc_id as key, words[1:8] as title_tokens, list_filter([name], lambda a: a is not null) as authors_norm,
+    case when doc_id % 7 = 0 then '' when doc_id % 5 = 0 then cast(y + 1 as varchar) else coalesce(cast(y as varchar), '') end as year,
+    case when doc_id % 10 = 0 then '2401.' || lpad(cast(doc_id as varchar), 5, '0') else '' end as arxiv from dv),
+ref as (select paper_id, cast(doc_id as int) as ord, '2401-' || lpad(cast(doc_id as varchar), 5, '0') as id, words as title_tokens,
+    list_filter([name, next_name], lambda a: a is not null) as authors_norm, coalesce(cast(y as varchar), '') as year from dv),
+manual as (select 'p' || lpad(cast(doc_id // 40 as varchar), 5, '0') as paper_id, 'k' || doc_id as bib_key, '2401-' || lpad(cast(doc_id as varchar), 5, '0') as cand_id
+    from documents where doc_id < 80 and doc_id % 4 = 1),
+bs as (select *, array_to_string(title_tokens, ' ') as txt, try_cast(nullif(year, '') as int) as yi, list_transform(authors_norm, lambda a: lower(a)) as au from bib),
+rs as (select *, array_to_string(title_tokens, ' ') as txt, try_cast(nullif(year, '') as int) as yi, list_transform(authors_norm, lambda a: lower(a)) as au from ref),
+pairs as (select b.paper_id, b.ord as b_ord, b.key as bib_key, r.ord as r_ord, r.id as cand_id, b.txt as bt, r.txt as rt, b.title_tokens as bk, r.title_tokens as rk, b.au as ba, r.au as ra,
+    b.yi as b_y, r.yi as r_y, b.arxiv as b_x, r.id as r_x from bs b join rs r on b.paper_id = r.paper_id)
+"""
+LAST = "list_transform({}, lambda a: list_last(string_split_regex(a, '\\s+')))"
+FIRST = "list_transform({}, lambda a: list_first(string_split_regex(a, '\\s+')))"
+SHARED = "case when len(list_intersect({a}, {b})) > 0 then 1.0::double else 0.0::double end"
+JACCARD = "case when len({a}) + len({b}) = 0 then 0.0 else len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) end"
+SQL_FEATURES = {
+    "levenshtein": "case when bt = '' or rt = '' then 0.0 when bt = rt then 1.0 else 1 - levenshtein(bt, rt) / greatest(length(bt), length(rt)) end",
+    "jaccard": JACCARD.format(a="bk", b="rk"),
+    "token_overlap": "cast(len(list_intersect(bk, rk)) as int)",
+    "token_overlap_ratio": "case when greatest(len(bk), len(rk)) = 0 then 0.0 else len(list_intersect(bk, rk)) / greatest(len(bk), len(rk)) end",
+    "author_overlap": f"case when len(ba) = 0 or len(ra) = 0 then 0.0 else {JACCARD.format(a='ba', b='ra')} end",
+    "author_lastname_match": SHARED.format(a=LAST.format("ba"), b=LAST.format("ra")),
+    "year_match": "cast(coalesce(b_y = r_y, false) as int)",
+    "year_diff": "coalesce(abs(b_y - r_y), 100)",
+    "source_year": "b_y",
+    "cand_year": "r_y",
+    "author_firstname_match": SHARED.format(a=FIRST.format("ba"), b=FIRST.format("ra")),
+    "digit_overlap": "cast(len(list_intersect(list_distinct(regexp_extract_all(bt, '[0-9]+')), list_distinct(regexp_extract_all(rt, '[0-9]+')))) as int)",
+}
+for _n in (3, 4, 5):
+    _g = "case when length(replace({t}, ' ', '')) < " + str(_n) + " then [] else list_distinct(list_transform(range(1, length(replace({t}, ' ', '')) - " + str(_n - 2) + "), lambda i: substr(replace({t}, ' ', ''), i, " + str(_n) + "))) end"
+    _a, _b = _g.format(t="bt"), _g.format(t="rt")
+    SQL_FEATURES[f"char_ngram_{_n}"] = f"case when len({_a}) = 0 or len({_b}) = 0 then 0.0 else {JACCARD.format(a='(' + _a + ')', b='(' + _b + ')')} end"
+
+TFIDF = (
+    VIEWS
+    + r""",
+entries as (select paper_id, 'b' as side, ord, concat_ws(' ', txt, array_to_string(authors_norm, ' '), nullif(year, '')) as t from bs
+    union all select paper_id, 'r', ord, concat_ws(' ', txt, array_to_string(authors_norm, ' '), nullif(year, '')) from rs),
+tf as (select paper_id, side, ord, term, count(*) as tf from entries, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}_]{2,}')) as u(term) group by all),
+df as (select paper_id, term, count(*) as df from tf group by all), nn as (select paper_id, count(*) as n from entries group by all),
+w as (select paper_id, side, ord, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (paper_id, term) join nn using (paper_id)),
+weights as (select paper_id, side, ord, term, w / sqrt(sum(w * w) over (partition by paper_id, side, ord)) as weight from w),
+cos as (select b.paper_id, b.ord as b_ord, r.ord as r_ord, sum(b.weight * r.weight) as cosine from weights b join weights r on b.paper_id = r.paper_id and b.term = r.term and b.side = 'b' and r.side = 'r' group by all)
+"""
+)
+SCORES = (
+    TFIDF
+    + rf""",
+scored as (select p.*, coalesce(cosine, 0) as cosine, case when b_x <> '' and regexp_replace(b_x, '[^0-9]', '', 'g') = regexp_replace(r_x, '[^0-9]', '', 'g') then 1.0 else least(1.0,
+    coalesce(cosine, 0) + 0.2 * ({SQL_FEATURES["author_overlap"]}) + coalesce(0.1 * (b_y = r_y)::int + 0.05 * (abs(b_y - r_y) <= 1)::int, 0)
+    + 0.1 * (({JACCARD.format(a="bk", b="rk")}) >= 0.6)::int + 0.2 * ({SQL_FEATURES["author_lastname_match"]})) end as raw from pairs p left join cos using (paper_id, b_ord, r_ord)),
+score as (select *, round(raw, 4) as score, (round(raw, 4) >= {THRESHOLD})::int as label from scored)
+"""
+)
+#: Rows chosen for the split tables: positives and hard negatives of papers without manual pairs, and manual positives.
+CHOSEN = (
+    SCORES
+    + f""",
+auto as (select * from score where paper_id not in (select paper_id from manual)),
+hard as (select paper_id, bib_key, cand_id, score, label from auto where label = 1 union all
+    select paper_id, bib_key, cand_id, score, label from (select *, row_number() over (partition by paper_id, bib_key order by score desc, r_ord, b_ord) as n from auto where label = 0) where n <= {NEGATIVES}),
+chosen as (select * from hard union all select paper_id, bib_key, cand_id, 1.0, 1 from manual),
+sizes as (select paper_id, count(*) as n_rows, max((paper_id in (select paper_id from manual))::int) as is_manual from chosen group by all),
+parts as (select paper_id, case row_number() over (partition by is_manual order by n_rows desc, paper_id) when 1 then 'test' when 2 then 'val' else 'train' end as partition from sizes)
+"""
+)
+
+
+def query(sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return views.bib(spark, d), views.ref(spark, d)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of all papers with cosine, score and label."""
+    return matching.label(matching.score_pairs(*both(spark, d)), THRESHOLD)
+
+
+def chosen(spark: SparkSession, d: str) -> DataFrame:
+    bib, ref = both(spark, d)
+    ids = views.manual(spark, d).select("paper_id").distinct()
+    auto = lambda x: x.join(ids, "paper_id", "left_anti")
+    rows = sampling.negatives(matching.label(matching.score_pairs(auto(bib), auto(ref)), THRESHOLD), NEGATIVES).select("paper_id", "bib_key", "cand_id", "score", "label")
+    return rows.unionByName(matching.manual_positives(views.manual(spark, d), bib, ref))
+
+
+def split(spark: SparkSession, d: str) -> DataFrame:
+    rows = chosen(spark, d)
+    return splits.with_partition(rows, splits.split_map(rows, views.manual(spark, d)))
+
+
+@query(VIEWS + "select paper_id, bib_key, cand_id from pairs")
+def block_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return matching.block(*(x.select("paper_id", k) for x, k in zip(both(spark, d), ("key", "id"), strict=True))).select("paper_id", F.col("b_key").alias("bib_key"), F.col("r_id").alias("cand_id"))
+
+
+@query(VIEWS + "select paper_id, bib_key, cand_id from pairs where b_x <> '' and regexp_replace(b_x, '[^0-9]', '', 'g') = regexp_replace(r_x, '[^0-9]', '', 'g')")
+def exact_id_match(spark: SparkSession, d: str) -> DataFrame:
+    return matching.exact_id_matches(*both(spark, d))
+
+
+@query(VIEWS + "select paper_id, key from bib where paper_id not in (select paper_id from manual)")
+def left_anti_manual(spark: SparkSession, d: str) -> DataFrame:
+    return views.bib(spark, d).select("paper_id", "key").join(views.manual(spark, d).select("paper_id").distinct(), "paper_id", "left_anti")
+
+
+@query(VIEWS + "select paper_id, key from bib where paper_id in (select paper_id from manual) or paper_id in (select distinct paper_id from bib where paper_id >= 'p00003' order by 1 limit 4)")
+def target_semi(spark: SparkSession, d: str) -> DataFrame:
+    bib = views.bib(spark, d).select("paper_id", "key")
+    return matching.of_papers(bib, matching.target_papers(views.manual(spark, d), bib, "p00003", 4))
+
+
+def feature_query(name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        bib, ref = both(spark, d)
+        pairs = block_pairs(spark, d)
+        return matching.with_features(pairs, bib, ref, (name,))
+
+    run.__name__ = f"feat_{name}"
+    query(VIEWS + f"select paper_id, bib_key, cand_id, {SQL_FEATURES[name]} as {name} from pairs")(run)
+
+
+for _name in SQL_FEATURES:
+    feature_query(_name)
+
+
+@query(SCORES + f"select paper_id, bib_key, cand_id, {', '.join(f'{SQL_FEATURES[n]} as {n}' for n in matching.FEATURES)} from score where label = 1")
+def feat_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored(spark, d).where("label = 1").select("paper_id", "bib_key", "cand_id")
+    return matching.with_features(rows, *both(spark, d))
+
+
+@query(TFIDF + "select paper_id, side, ord, term, round(weight, 8) as weight from weights")
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    e = lambda x, s: x.select("paper_id", F.lit(s).alias("side"), "ord", "text")
+    bib, ref = both(spark, d)
+    return tfidf.weights(e(bib, "b").unionByName(e(ref, "r"))).withColumn("weight", F.round("weight", 8))
+
+
+@query(TFIDF + "select paper_id, b_ord, r_ord, round(cosine, 8) as cosine from cos")
+def tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
+    e = lambda x, s: x.select("paper_id", F.lit(s).alias("side"), "ord", "text")
+    bib, ref = both(spark, d)
+    return tfidf.cosine(tfidf.weights(e(bib, "b").unionByName(e(ref, "r")))).withColumn("cosine", F.round("cosine", 8))
+
+
+@query(SCORES + "select paper_id, bib_key, cand_id, round(cosine, 8) as cosine, score from score")
+def score_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).select("paper_id", "bib_key", "cand_id", F.round("cosine", 8).alias("cosine"), "score")
+
+
+@query(SCORES + "select paper_id, bib_key, cand_id, score, label from score where label = 1")
+def weak_labels(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).where("label = 1").select("paper_id", "bib_key", "cand_id", "score", "label")
+
+
+@query(CHOSEN + "select * from hard")
+def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    ids = views.manual(spark, d).select("paper_id").distinct()
+    auto = scored(spark, d).join(ids, "paper_id", "left_anti")
+    return sampling.negatives(auto, NEGATIVES).select("paper_id", "bib_key", "cand_id", "score", "label")
+
+
+@query(SCORES + f"select paper_id, bib_key, cand_id from (select *, row_number() over (partition by paper_id, bib_key order by md5('{SEED}:' || paper_id || ':' || bib_key || ':' || cand_id), r_ord, b_ord) as n from score where label = 0) where n <= 3")
+def random_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.negatives(scored(spark, d).where("label = 0"), 3, "random", SEED).select("paper_id", "bib_key", "cand_id")
+
+
+@query(VIEWS + f"select paper_id, id from (select *, row_number() over (partition by paper_id order by md5('{SEED}:' || id), ord) as n from ref) where n <= 15")
+def cap_hash_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.cap_per_paper(views.ref(spark, d).select("paper_id", "ord", "id"), 15, SEED, "id").select("paper_id", "id")
+
+
+@query(SCORES + "select paper_id, bib_key, cand_id, score, cast(n as int) as rank from (select *, row_number() over (partition by paper_id, bib_key order by score desc, cand_id) as n from score) where n <= 5")
+def top5_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.top_k(scored(spark, d), "score").select("paper_id", "bib_key", "cand_id", "score", "rank")
+
+
+RANKS = (
+    SCORES
+    + """,
+best as (select *, row_number() over (partition by paper_id, bib_key order by score desc, cand_id) as n from score),
+truth as (select paper_id, bib_key, arg_min(cand_id, r_ord) as truth from score where label = 1 group by all),
+rr as (select t.paper_id, t.bib_key, coalesce(1 / n, 0.0) as rr from truth t left join best b on b.paper_id = t.paper_id and b.bib_key = t.bib_key and b.cand_id = t.truth and n <= 5)
+"""
+)
+
+
+def ranks(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored(spark, d).withColumn("ord", F.col("r_ord"))
+    return ranking.reciprocal_ranks(rows, ranking.first_positive(rows), "score")
+
+
+@query(RANKS + "select * from rr")
+def reciprocal_rank(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(spark, d)
+
+
+@query(RANKS + "select round(avg(rr), 8) as mrr, count(*) as n_queries, case when avg(rr) > 0.8 then 'excellent' when avg(rr) > 0.5 then 'good' else 'poor' end as verdict from rr")
+def mrr(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.mrr(ranks(spark, d)).withColumn("mrr", F.round("mrr", 8))
+
+
+@query(VIEWS + "select m.paper_id, m.bib_key, m.cand_id, 1.0::double as score, 1 as label from manual m join bib b on m.paper_id = b.paper_id and m.bib_key = b.key join ref r on m.paper_id = r.paper_id and m.cand_id = r.id")
+def manual_positives(spark: SparkSession, d: str) -> DataFrame:
+    return matching.manual_positives(views.manual(spark, d), *both(spark, d))
+
+
+@query(CHOSEN + "select paper_id, partition from parts")
+def split_map(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_map(chosen(spark, d), views.manual(spark, d))
+
+
+@query(CHOSEN + ", c as (select partition, count(*) as n_rows, count(distinct paper_id) as n_papers from chosen join parts using (paper_id) group by all) select *, cast(floor(sum(n_rows) over () * case partition when 'train' then 0.75 else 0.125 end) as bigint) as target_rows from c")
+def split_counts(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_report(split(spark, d), {"test": 0.125, "val": 0.125})
+
+
+@query(CHOSEN + "select label, count(*) as n from chosen group by all")
+def label_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.label_counts(chosen(spark, d))
+
+
+@query(CHOSEN + "select paper_id, count(*) as n_rows from chosen group by all")
+def rows_per_paper(spark: SparkSession, d: str) -> DataFrame:
+    return splits.paper_rows(chosen(spark, d))
+
+
+@query(CHOSEN + "select paper_id, bib_key, max(cand_id) as cand_id from chosen c where label = 1 and score = (select max(score) from chosen e where e.label = 1 and e.paper_id = c.paper_id and e.bib_key = c.bib_key) group by all")
+def groundtruth_pick(spark: SparkSession, d: str) -> DataFrame:
+    return splits.ground_truth(chosen(spark, d).withColumns({"levenshtein": F.lit(0.0), "jaccard": F.lit(0.0)}))
+
+
+@query(VIEWS + ", b as (select paper_id, count(*) as n_bib from bib where ord % 3 = 0 group by all), r as (select paper_id, count(*) as n_ref from ref where ord > 100 group by all) select coalesce(b.paper_id, r.paper_id) as paper_id, coalesce(n_bib, 0) as n_bib, coalesce(n_ref, 0) as n_ref from b full join r on b.paper_id = r.paper_id")
+def paper_stats_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    bib, ref = both(spark, d)
+    return stats.paper_counts(bib.where("ord % 3 = 0"), ref.where("ord > 100"))
+
+
+@query(VIEWS + ", b as (select paper_id, count(*) as n from bib where ord % 3 = 0 group by all), r as (select paper_id, count(*) as m from ref where ord > 100 group by all), c as (select coalesce(n, 0) as n, coalesce(m, 0) as m from b full join r on b.paper_id = r.paper_id) select count(*) as n_papers, cast(sum(n) as bigint) as n_bib, cast(sum(m) as bigint) as n_ref, count(*) filter (where n = 0) as no_bib, count(*) filter (where m = 0) as no_ref, count(*) filter (where n > 0 and m > 0) as has_both from c")
+def parsing_summary(spark: SparkSession, d: str) -> DataFrame:
+    return stats.parsing_summary(paper_stats_full_outer(spark, d))
+
+
+@query(VIEWS + "select paper_id, count(*) as n_bib from bib where ord % 7 <> 3 group by all order by n_bib desc, paper_id limit 10")
+def top_papers(spark: SparkSession, d: str) -> DataFrame:
+    counts = views.bib(spark, d).where("ord % 7 <> 3").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_bib"))
+    return stats.top_papers(counts, "n_bib", 10)
+
+
+HISTOGRAM = ", e as (select min(score) as lo, max(score) as hi from score), h as (select label, case when hi = lo then 0 else least(49, floor((score - lo) / ((hi - lo) / 50))) end as bin, lo, (hi - lo) / 50 as width from score, e)"
+
+
+@query(SCORES + HISTOGRAM + " select cast(bin as int) as bin, round(min(lo + bin * width), 8) as lower, count(*) as n from h group by bin")
+def histogram_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(scored(spark, d), F.col("score")).withColumn("lower", F.round("lower", 8))
+
+
+@query(SCORES + HISTOGRAM + " select label, cast(bin as int) as bin, round(min(lo + bin * width), 8) as lower, count(*) as n from h group by label, bin")
+def histogram_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(scored(spark, d), F.col("score"), by="label").withColumn("lower", F.round("lower", 8))
+
+
+@query(SCORES + "select label, round(quantile_cont(score, 0.25), 8) as q1, round(quantile_cont(score, 0.5), 8) as median, round(quantile_cont(score, 0.75), 8) as q3 from score group by label")
+def quartiles(spark: SparkSession, d: str) -> DataFrame:
+    return stats.quartiles(scored(spark, d), "score", "label").select("label", *[F.round(c, 8).alias(c) for c in ("q1", "median", "q3")])
+
+
+@query(SCORES + ", f as (select score, cosine::double as cosine, abs(b_y - r_y)::double as gap from score order by paper_id, bib_key, cand_id limit 10000) " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from f" for a in ("score", "cosine", "gap") for b in ("score", "cosine", "gap")))
+def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
+    bib, ref = (x.select("paper_id", F.col(k).alias(n), T.year_int(F.col("year")).alias(y)) for x, k, n, y in zip(both(spark, d), ("key", "id"), ("bib_key", "cand_id"), ("b_y", "r_y"), strict=True))
+    rows = scored(spark, d).join(bib, ["paper_id", "bib_key"]).join(ref, ["paper_id", "cand_id"]).withColumn("gap", F.abs(F.col("b_y") - F.col("r_y")).cast("double"))
+    return stats.correlations(rows, ["score", "cosine", "gap"], 10_000, ("paper_id", "bib_key", "cand_id")).withColumn("r", F.round("r", 6))
+
+
+PREDICTED = SCORES + ", pr as (select label, (cosine >= 0.5)::int as prediction from score)"
+
+
+def predicted(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).withColumn("prediction", (F.col("cosine") >= 0.5).cast("int"))
+
+
+@query(PREDICTED + "select label, prediction, count(*) as n from pr group by all")
+def confusion(spark: SparkSession, d: str) -> DataFrame:
+    return stats.confusion(predicted(spark, d))
+
+
+@query(
+    PREDICTED
+    + """, c as (select k as class, count(*) filter (where label = k and prediction = k) as tp, count(*) filter (where prediction = k) as pp, count(*) filter (where label = k) as support from pr, (values (0), (1)) v(k) group by k),
+s as (select class, case when pp > 0 then tp / pp else 0 end as p, case when support > 0 then tp / support else 0 end as r, support, tp from c), f as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from s), t as (select sum(support) as n, sum(tp) as right_ from f)
+select cast(class as varchar) as class, round(p, 8) as precision, round(r, 8) as recall, round(f, 8) as f1, support from f
+union all select 'accuracy', round(right_ / n, 8), round(right_ / n, 8), round(right_ / n, 8), cast(n as bigint) from t
+union all select 'macro avg', round(avg(p), 8), round(avg(r), 8), round(avg(f), 8), cast(sum(support) as bigint) from f
+union all select 'weighted avg', round(sum(p * support) / sum(support), 8), round(sum(r * support) / sum(support), 8), round(sum(f * support) / sum(support), 8), cast(sum(support) as bigint) from f"""
+)
+def class_report(spark: SparkSession, d: str) -> DataFrame:
+    return stats.class_report(predicted(spark, d)).select("class", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(CHOSEN + f", g as (select count(*) as n from chosen where label = 1) select paper_id, bib_key, cand_id, label from chosen where label = 1 union all select paper_id, bib_key, cand_id, label from (select *, row_number() over (order by md5('42:' || paper_id || ':' || bib_key || ':' || cand_id), paper_id, bib_key, cand_id) as k from chosen where label = 0), g where k <= 2000 - n")
+def training_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.training_sample(chosen(spark, d), 2000, 42).select("paper_id", "bib_key", "cand_id", "label")
+
+
+@query(r"select doc_id, try_cast(nullif(regexp_extract(substr(text, 1, 400), '[0-9]{4}'), '') as int) as year, lower(regexp_replace(source || '.' || lang, '[^\p{L}\p{N}_]', '', 'g')) as norm_id, substr(sha1(text), 1, 6) as short_hash, regexp_extract(text, '[0-9]{4}\.[0-9]{4,5}') <> '' as dotted from documents")
+def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
+    docs = views.table(spark, d, "documents")
+    return docs.select("doc_id", T.year_int(F.substring("text", 1, 400)).alias("year"), T.norm_arxiv(F.concat_ws(".", "source", "lang")).alias("norm_id"), T.short_hash(F.col("text")).alias("short_hash"), F.col("text").rlike(r"[0-9]{4}\.[0-9]{4,5}").alias("dotted"))
+
+
+STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOP)
+
+
+@query(VIEWS + f"select paper_id, key, list_filter(title_tokens, lambda t: length(t) > 1 and t not in ({STOP})) as title_tokens from bib")
+def title_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return views.bib(spark, d).select("paper_id", "key", T.filter_title_tokens(F.col("title_tokens")).alias("title_tokens"))
+
+
+@query(r"select p_partkey, list_filter(list_transform(string_split_regex(replace(p_name, ' ', ' and '), ' and '), lambda a: trim(a)), lambda a: a <> '') as authors, list_last(string_split_regex(p_name, '\s+')) as last_name from part")
+def split_authors(spark: SparkSession, d: str) -> DataFrame:
+    part = views.table(spark, d, "part")
+    return part.select("p_partkey", T.split_authors(F.regexp_replace("p_name", " ", " and ")).alias("authors"), F.get(T.last_names(F.array("p_name")), 0).alias("last_name"))
+
+
+@query(r"select page_id, trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[!-.;-@\[-`{-~]', '', 'g'))), '\s+', ' ', 'g')) as title from pages")
+def norm_text(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "pages").select("page_id", T.normalize_parsed(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+
+
+@query()
+def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return matching.greedy_assignment(matching.score_pairs(*both(spark, d)), THRESHOLD)
+
+
+@query()
+def pred_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = split(spark, d).withColumns({"levenshtein": F.lit(0.0), "jaccard": F.lit(0.0)})
+    truth = splits.ground_truth(rows).withColumnRenamed("cand_id", "truth")
+    table = ranking.update_predictions(splits.predictions_file(rows), rows, "score", truth)
+    return table.select("paper_id", F.to_json(F.struct("partition", "groundtruth", "prediction")).alias("pred"))
+
+
+@query()
+def bib_parse(spark: SparkSession, d: str) -> DataFrame:
+    """The bibliography view written as .bib text, a paper each, and parsed again."""
+    field = lambda n, v: F.concat(F.lit(f"  {n} = {{"), v, F.lit("}"))
+    text = F.concat(F.lit("@article{"), "key", F.lit(",\n"), F.concat_ws(",\n", field("title", F.array_join("title_tokens", " ")), field("author", F.array_join("authors_norm", " and ")), field("year", F.col("year")), field("eprint", F.col("arxiv"))), F.lit("\n}\n"))
+    files = views.bib(spark, d).groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("content"))
+    return papers.postprocess_tokens(papers.bibitem_rows(bibtex.parse_bib(files))).select("paper_id", "key", "year", "arxiv", "authors_norm", "title_tokens", "author_tokens", "tokens_source")
+
+
+@query()
+def tex_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a block as a LaTeX paper of sections, parsed to its elements."""
+    docs = views.table(spark, d, "documents").where("doc_id < 200").select(views.paper_id().alias("paper_id"), "doc_id", F.concat(F.lit("\\section{Document "), F.col("doc_id").cast("string"), F.lit("}\n"), F.translate("text", "\\{}$%", "")).alias("t"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n")
+    tex = docs.groupBy("paper_id").agg(F.concat(F.lit("\\documentclass{article}\\begin{document}\n"), body, F.lit("\n\\end{document}")).alias("tex"))
+    files = tex.select("paper_id", F.lit("v1").alias("version"), F.lit("main.tex").alias("path"), F.encode("tex", "UTF-8").alias("content"))
+    elements, edges = papers.hierarchy_tables(papers.parse_papers(files))
+    return elements.join(edges, [elements.paper_id == edges.paper_id, elements.id == edges.child], "left").select(elements.paper_id, "id", "parent", "text")
+
+
+@query()
+def rf_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A small forest trained on the train part; the test part's probabilities."""
+    bib, ref = both(spark, d)
+    rows = split(spark, d)
+    rows = matching.with_features(rows.select("paper_id", "bib_key", "cand_id", "score", "label", "partition"), bib, ref)
+    fitted = model.fit(rows.where("partition = 'train'"), model.Params(trees=20, depth=8))
+    return model.predict(fitted, rows.where("partition <> 'train'")).select("paper_id", "bib_key", "cand_id", "label", F.round("proba", 6).alias("proba"), "prediction")
