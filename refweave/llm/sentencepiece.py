@@ -8,7 +8,7 @@ piece that the text before it ends in may stand before its own piece. That leave
 score gives, because a sequence of pieces is what merging gives if and only if each two neighbours are. Whether two
 pieces may be neighbours is found by merging the two alone, once a pair.
 
-Characters that no piece has become byte pieces. Encodings are kept for stretches met before, until there are KEPT.
+Characters that no piece has become byte pieces. Encodings of up to KEPT stretches are kept, then only of those that came again.
 
 Defined results: a null text is empty and has no pieces; repeated rows are encoded as often as they occur; equal scores
 go to the left pair; an empty table gives an empty result; further columns pass through `encode` and `decode` unless
@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Types of pieces in a model's file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT, PAIRS_KEPT = 300_000, 600_000
+KEPT, PAIRS_KEPT = 800_000, 1_000_000
 #: Characters of new stretches that are indexed at once.
 INDEXED = 400_000
+NEVER = float("inf")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -107,7 +108,6 @@ class Model:
         for row, p in zip(self.table, pieces, strict=True):
             row[: len(p)] = [ord(c) for c in p]
         self.known: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
 
     def normalised(self, text: str) -> str:
         if self.trim:
@@ -118,6 +118,24 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """Merging by score: the best pair first, of equal ones the left one."""
+        if len(text) > 64:
+            return self.merged_long(text)
+        ids, scores = self.ids, self.scores
+        rank = lambda both: -scores[k] if (k := ids.get(both)) is not None else NEVER
+        parts = list(text)
+        costs = [rank(x + y) for x, y in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) < NEVER:
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = rank(parts[i - 1] + parts[i])
+            if i < len(costs):
+                costs[i] = rank(parts[i] + parts[i + 1])
+        return parts
+
+    def merged_long(self, text: str) -> list[str]:
+        """The same for long texts: a heap holds the pairs."""
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -153,28 +171,33 @@ class Model:
             found = self.known[key] = self.merged(p + q) == [p, q]
         return found
 
-    def alone(self, a: int) -> bool:
-        found = self.whole.get(a)
-        if found is None:
-            found = self.whole[a] = len(self.merged(self.pieces[a])) == 1
-        return found
+    @cached_property
+    def alone(self) -> np.ndarray:
+        """By id, whether merging a piece's text gives the piece: others are never used."""
+        good = np.zeros(len(self.pieces), bool)
+        for piece, k in self.ids.items():
+            good[k] = len(self.merged(piece)) == 1
+        return good
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` characters (prefix doubling)."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    step, order = 1, np.argsort(rank, kind="stable")
-    while step < depth:
+    """Suffixes in order of their first `depth` characters: as many as fit make a number, then prefix doubling."""
+    letters, rank = np.unique(text, return_inverse=True)
+    bits = int(len(letters) + 1).bit_length()
+    step = max(1, 62 // bits)
+    padded = np.concatenate([rank.astype(np.int64) + 1, np.zeros(step, np.int64)])
+    key = np.zeros(len(text), np.int64)
+    for j in range(step):
+        key = key << bits | padded[j : j + len(text)]
+    while True:
+        order = np.argsort(key)
+        if step >= depth:
+            return order
+        rank = np.empty(len(text), np.int64)
+        rank[order] = np.concatenate([[1], 1 + np.cumsum(key[order][1:] != key[order][:-1])])
         after = np.zeros_like(rank)
         after[:-step] = rank[step:]
-        key = rank * (rank.max() + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) + 1
-        rank[order] = new
-        if new[-1] == len(text):
-            break
-        step *= 2
-    return order
+        key, step = rank * (int(rank.max()) + 1) + after, 2 * step
 
 
 def occurrences(text: np.ndarray, order: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -204,54 +227,51 @@ def occurrences(text: np.ndarray, order: np.ndarray, model: Model) -> tuple[np.n
     return order[at], piece
 
 
+#: In place of a piece: nothing reaches here; a stretch starts here; a character as bytes.
+NONE, AT_START, AS_BYTES = -3, -1, -2
+
+
 def encode_stretches(stretches: list[str], model: Model) -> list[list[int]]:
     """Ids of each stretch of normalised text."""
     joined = "\0".join(stretches) + "\0"  # a NUL is no piece; one within a stretch is an unknown character all the same
     text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     at, piece = occurrences(text, suffix_array(text, model.longest), model)
-    end = at + model.lengths[piece]
-    by_end = np.lexsort((at, end))
-    starts, ends, ids = at[by_end].tolist(), end[by_end].tolist(), model.sorted_ids[piece[by_end]].tolist()
-    # last[p]: the piece that the text up to p ends in: -1 at a stretch's start, -2 for bytes, None if none does.
-    last: list[int | None] = [None] * (len(text) + 1)
-    back = [0] * (len(text) + 1)
-    borders = np.cumsum([0] + [len(s) + 1 for s in stretches]).tolist()
-    for b in borders:
-        if b < len(last):
-            last[b] = -1
-    alone, neighbours = model.alone, model.neighbours
     covered = np.zeros(len(text), bool)
     covered[at[model.lengths[piece] == 1]] = True
-    lost = np.flatnonzero(~covered).tolist()
-    stops = set(b - 1 for b in borders[1:])
-    next_lost, e, n_edges = 0, 0, len(starts)
-    for p in range(1, len(text) + 1):
-        if next_lost < len(lost) and lost[next_lost] == p - 1:
-            next_lost += 1
-            if p - 1 not in stops:
-                last[p], back[p] = -2, p - 1
-        while e < n_edges and ends[e] == p:
-            a, k = starts[e], ids[e]
-            e += 1
-            before = last[a]
-            if before is not None and (alone(k) if before < 0 else alone(k) and neighbours(before, k)):
-                last[p], back[p] = k, a
+    borders = np.cumsum([0] + [len(s) + 1 for s in stretches])
+    covered[borders[1:] - 1] = True  # the NULs between stretches are no edges
+    good = model.alone[model.sorted_ids[piece]]
+    lost = np.flatnonzero(~covered)
+    at, ids = np.concatenate([at[good], lost]), np.concatenate([model.sorted_ids[piece[good]], np.full(len(lost), AS_BYTES)])
+    end = np.concatenate([at[: len(at) - len(lost)] + model.lengths[piece[good]], lost + 1])
+    by_end = np.argsort(end, kind="stable")
+    # last[p]: the piece that the text up to p ends in.
+    last, back = [NONE] * (len(text) + 1), [0] * (len(text) + 1)
+    for b in borders.tolist():
+        last[b] = AT_START
+    known, neighbours = model.known, model.neighbours
+    for a, p, k in zip(at[by_end].tolist(), end[by_end].tolist(), ids[by_end].tolist(), strict=True):
+        before = last[a]
+        if before >= 0 and k >= 0:
+            fits = known.get(before << 32 | k)
+            if fits is None:
+                fits = neighbours(before, k)
+        else:
+            fits = before != NONE
+        if fits:
+            last[p], back[p] = k, a
     out = []
-    for i, s in enumerate(stretches):
-        first, p, found = borders[i], borders[i] + len(s), []
-        whole = True
-        while p > first:
-            k = last[p]
-            if k is None:
-                whole = False
-                break
-            if k == -2:
-                data = joined[p - 1].encode("utf-8", "surrogatepass")
-                found.extend(model.bytes.get(b, model.unknown) for b in reversed(data))
+    for first, s in zip(borders.tolist(), stretches, strict=False):
+        p, found = first + len(s), []
+        while p > first and (k := last[p]) != NONE:
+            if k == AS_BYTES:
+                found.extend(model.bytes.get(b, model.unknown) for b in reversed(joined[p - 1].encode("utf-8", "surrogatepass")))
             else:
                 found.append(k)
             p = back[p]
-        out.append(found[::-1] if whole else [j for x in model.merged(s) for j in ([model.ids[x]] if x in model.ids else [model.bytes.get(b, model.unknown) for b in x.encode()])])
+        if p > first:  # no path: merge directly
+            found = [j for x in reversed(model.merged(s)) for j in ([model.ids[x]] if x in model.ids else [model.bytes.get(b, model.unknown) for b in reversed(x.encode())])]
+        out.append(found[::-1])
     return out
 
 
@@ -266,6 +286,20 @@ class Encoder:
         """Stretch number i has the ids flat[begin[i] : begin[i + 1]]."""
         self.number: dict[str, int] = {}
         self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.used = np.zeros(0, bool)
+
+    def forget_unused(self) -> None:
+        """Keep the stretches used twice or more since the last time; if these are too many, none."""
+        keep = [(s, i) for s, i in self.number.items() if self.used[i]]
+        flat, begin = self.flat, self.begin
+        self.forget()
+        if len(keep) <= KEPT // 2:
+            self.number = {s: n for n, (s, _) in enumerate(keep)}
+            which = np.array([i for _, i in keep], np.int64)
+            n = begin[which + 1] - begin[which]
+            self.begin = np.concatenate([[0], np.cumsum(n)])
+            self.flat = flat[np.repeat(begin[which] - self.begin[:-1], n) + np.arange(self.begin[-1])]
+            self.used = np.zeros(len(keep), bool)
 
     def stretches(self, text: str) -> list[str]:
         text = self.model.normalised(text)
@@ -295,15 +329,18 @@ class Encoder:
             self.number.update(zip(new[a:b], range(len(self.number), len(self.number) + b - a), strict=True))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids])])
             self.flat = np.concatenate([self.flat, np.array([k for x in ids for k in x], np.int32)])
+            self.used = np.concatenate([self.used, np.zeros(b - a, bool)])
             a = b
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of the texts among them)."""
         if len(self.number) > KEPT:
-            self.forget()
+            self.forget_unused()
         split = [self.stretches(t or "") for t in texts]
+        old = len(self.number)
         self.learn([s for s in dict.fromkeys(s for parts in split for s in parts) if s not in self.number])
         which = np.array([self.number[s] for parts in split for s in parts], np.int64)
+        self.used[which[which < old]] = True
         n = self.begin[which + 1] - self.begin[which]
         ends = np.concatenate([[0], np.cumsum(n)])
         at = np.repeat(self.begin[which] - ends[:-1], n) + np.arange(ends[-1])
