@@ -37,7 +37,8 @@ FIRST = "list_transform({}, lambda a: list_first(string_split_regex(a, '\\s+')))
 SHARED = "case when len(list_intersect({a}, {b})) > 0 then 1.0::double else 0.0::double end"
 JACCARD = "case when len({a}) + len({b}) = 0 then 0.0 else len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) end"
 SQL_FEATURES = {
-    "levenshtein": "case when bt = '' or rt = '' then 0.0 when bt = rt then 1.0 else 1 - levenshtein(bt, rt) / greatest(length(bt), length(rt)) end",
+    # DuckDB's levenshtein counts bytes, so letters of two bytes become letters of one that no lower-case text has.
+    "levenshtein": "case when bt = '' or rt = '' then 0.0 when bt = rt then 1.0 else 1 - levenshtein(translate(bt, 'éèêçñíóäöüß', 'ABCDEFGHIJK'), translate(rt, 'éèêçñíóäöüß', 'ABCDEFGHIJK')) / greatest(length(bt), length(rt)) end",
     "jaccard": JACCARD.format(a="bk", b="rk"),
     "token_overlap": "cast(len(list_intersect(bk, rk)) as int)",
     "token_overlap_ratio": "case when greatest(len(bk), len(rk)) = 0 then 0.0 else len(list_intersect(bk, rk)) / greatest(len(bk), len(rk)) end",
