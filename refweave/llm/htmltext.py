@@ -77,7 +77,8 @@ def pieces(page: str) -> list[Piece]:
         if hidden or not raw:
             return
         plain = html.unescape(raw) if "&" in raw else raw
-        count = len(plain.split())
+        # A part that will be left out counts once a run, and not at all within the main part, whatever its length.
+        count = int(not main) if boiler else len(plain.split())
         where = "boiler" if boiler else "main" if main else "link" if link else "word"
         out.append(Piece(where, count, plain, block, not boiler))
 
@@ -102,7 +103,7 @@ def pieces(page: str) -> list[Piece]:
             continue
         if name in BLOCKS:
             block += 1
-        out.append(Piece(f"<{name}>" if name in BLOCKS else "<inline>", 1, "", block, False))
+        out.append(Piece(f"<{name}>" if name in BLOCKS else "<inline>", int(not (boiler or hidden)), "", block, False))
         if m[1] or m[4]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
