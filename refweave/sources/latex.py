@@ -172,7 +172,7 @@ def parse_document(tree: Tree, tex: str) -> None:
     heads = list(re.finditer(rf"\\({'|'.join(LEVELS)})\*?(?:\[[^\]]*\])?\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}", tex))
     add_body(tree, tex[: heads[0].start()] if heads else tex, root)
     stack = [(0, root)]
-    for m, after in zip(heads, [*heads[1:], None], strict=True):
+    for m, after in zip(heads, [*heads[1:], None], strict=False):
         title, level = cleaned(m[2]), LEVELS[m[1]]
         if re.search(r"(?i)\breferences?\b|bibliography", title):
             continue

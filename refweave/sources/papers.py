@@ -86,7 +86,7 @@ def hierarchy_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bibitem_rows(entries: DataFrame) -> DataFrame:
     """Typed rows of .bib entries of the kept types: title words come from the title, else from the note."""
     e = bibtex.kept_entries(entries).withColumns({"author_norm": T.normalize_parsed(F.regexp_replace("author", r"(?i)\band\b|,", " / ")), "note_norm": T.normalize_parsed(F.col("note")), "title_norm": T.normalize_parsed(F.col("title"), True)})
-    e = e.withColumn("authors_norm", F.filter(F.transform(F.split("author_norm", "/"), F.trim), lambda a: a != ""))
+    e = e.withColumn("authors_norm", F.filter(F.transform(F.split("author_norm", "/"), lambda a: F.trim(a)), lambda a: a != ""))
     every = T.all_author_tokens(F.col("authors_norm"))
     has = F.col("title_norm") != ""
     tokens = F.when(has, T.without(T.filter_title_tokens(F.split("title_norm", r"\s+")), every)).otherwise(T.note_title_tokens(F.col("note_norm"), every))
@@ -98,7 +98,7 @@ def reference_rows(raw: DataFrame) -> DataFrame:
     items = raw.select("paper_id", F.from_json(F.col("content").cast("string"), RAW_REFERENCES).alias("m")).select("paper_id", F.posexplode("m").alias("ord", "id", "v"))
     r = items.select("paper_id", "ord", "id", F.coalesce("v.paper_title", F.lit("")).alias("title"), F.coalesce("v.authors", F.array().cast("array<string>")).alias("authors"), T.year_of_date(F.col("v.submission_date")).alias("year"), F.col("id").alias("arxiv"))
     r = r.withColumns({"_a": T.normalize_parsed(F.array_join("authors", " / ")), "_t": T.normalize_parsed(F.col("title"), True)})
-    r = r.withColumn("authors_norm", F.filter(F.transform(F.split("_a", "/"), F.trim), lambda a: a != ""))
+    r = r.withColumn("authors_norm", F.filter(F.transform(F.split("_a", "/"), lambda a: F.trim(a)), lambda a: a != ""))
     note = T.squeezed(F.concat_ws(" ", F.array_join("authors_norm", " "), "_t"))
     return r.select("paper_id", "ord", "id", "title", "authors", "authors_norm", T.without(T.filter_title_tokens(F.split("_t", r"\s+")), T.all_author_tokens(F.col("authors_norm"))).alias("title_tokens"), T.author_tokens(F.col("authors_norm")).alias("author_tokens"), "year", "arxiv", note.alias("note_norm"))
 
