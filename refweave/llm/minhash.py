@@ -275,7 +275,8 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     ends = met.select("node").union(met.select(F.col("centre").alias("node"))).distinct()
     wanted = materialize(ends.join(nodes.select(again(F.col("node")).alias("node"), "first_id"), "node").select(F.col("node").alias("_node"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("_id")), "wanted")
     own = docs.select("_node", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), text_of(text).alias("text"))
-    texts = materialize(own.join(wanted, ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"]).select(F.col("_node").alias("node"), "text"), "texts")
+    # One plan at every size: the texts are dealt by key, whether or not the wanted keys would fit a broadcast today.
+    texts = materialize(own.join(wanted.hint("merge"), ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"]).select(F.col("_node").alias("node"), "text"), "texts")
     first = met.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
     links = verified(first, texts, similarity)
     roots = components(links)
