@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,16 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left")
 
 def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def claim(operator: str, release: Callable[[], None]) -> None:
+    """Say, in a Python worker, that `operator` runs there now; what other operators keep in memory is let go.
+
+    Spark hands workers on from stage to stage, and their caches would add up.
+    """
+    for name in [n for n in _KEPT if n != operator]:
+        _KEPT.pop(name)()
+    _KEPT[operator] = release

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_of
+from .common import claim, materialize, small_batches, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -64,6 +64,11 @@ def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES
 
 
+def release() -> None:
+    global _TABLES
+    _TABLES = powers(1 << 10)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of each word of the documents data[offsets[i]:offsets[i + 1]], in order."""
     if not len(data):
@@ -191,6 +196,7 @@ def bands(nodes: DataFrame) -> DataFrame:
     small_batches(nodes.sparkSession, 1024)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash", release)
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in slices(batch.column(1)):
@@ -223,6 +229,7 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     right = left.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("b")), "centre").select("node", "centre", "a", "b")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash", release)
         for batch in batches:
             last, known, good = None, None, []
             for x, a, c, b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 1, 3)), strict=True):

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import claim, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Types of pieces in a model's file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT, PAIRS_KEPT = 800_000, 1_000_000
+KEPT, PAIRS_KEPT = 500_000, 600_000
 #: Characters of new stretches that are indexed at once.
-INDEXED = 400_000
+INDEXED = 250_000
 NEVER = float("inf")
 
 
@@ -373,6 +373,7 @@ def with_column(df: DataFrame, name: str, kind: T.DataType, from_: str, make, ba
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sentencepiece", encoder.cache_clear)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(from_))], [*batch.schema.names, name])
 
