@@ -36,11 +36,11 @@ def histogram(rows: DataFrame, value: Column, bins: int = 50, by: str | None = N
     """(by, bin, lower, n) in bins of equal width over all rows' range; the top edge belongs to the last bin."""
     keys = [by] if by else []
     plain = rows.select(*keys, value.cast("double").alias("x")).where("x is not null")
-    ends = plain.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / width)))
-    placed = plain.crossJoin(F.broadcast(ends)).withColumn("bin", at.cast("int"))
-    return placed.groupBy(*keys, "bin").agg(F.min(F.col("lo") + F.col("bin") * width).alias("lower"), F.count(F.lit(1)).alias("n"))
+    lo, hi = plain.agg(F.min("x"), F.max("x")).first()  # two numbers
+    width = ((hi or 0.0) - (lo or 0.0)) / bins
+    at = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.lit(lo)) / width)) if width else F.lit(0)
+    placed = plain.withColumn("bin", at.cast("int"))
+    return placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")).select(*keys, "bin", (F.lit(lo) + F.col("bin") * width).alias("lower"), "n")
 
 
 def quartiles(rows: DataFrame, value: str, by: str) -> DataFrame:

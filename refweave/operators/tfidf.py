@@ -18,9 +18,11 @@ def weights(entries: DataFrame, text: str = "text", scope: str = "paper", fitted
     of = lambda e: e.select("paper_id", "side", "ord", F.explode(terms(F.col(text))).alias("term")).groupBy("paper_id", "side", "ord", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = of(entries)
     df = (tf if fitted_on is None else of(fitted_on)).groupBy(*fit, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = base.groupBy(*fit).agg(F.count(F.lit(1)).alias("n"))
     weighed = tf.join(df, [*fit, "term"])
-    weighed = weighed.join(n, fit) if fit else weighed.crossJoin(F.broadcast(n))  # one row
+    if fit:
+        weighed = weighed.join(base.groupBy(*fit).agg(F.count(F.lit(1)).alias("n")), fit)
+    else:
+        weighed = weighed.withColumn("n", F.lit(base.count()))  # one number
     weighed = weighed.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("paper_id", "side", "ord")))
     return weighed.select("paper_id", "side", "ord", "term", (F.col("w") / norm).alias("weight"))
