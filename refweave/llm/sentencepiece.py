@@ -34,9 +34,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Types of pieces in a model's file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KEPT, PAIRS_KEPT = 500_000, 600_000
+KEPT, PAIRS_KEPT = 800_000, 1_000_000
 #: Characters of new stretches that are indexed at once.
-INDEXED = 250_000
+INDEXED = 400_000
 NEVER = float("inf")
 
 
