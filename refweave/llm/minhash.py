@@ -10,7 +10,9 @@ probability sum(min) / sum(max) of the weights.
 Signatures are cut into bands. Every band value's texts are linked to one of them (a centre that the value seeds, so that
 centres differ by band), links are verified on the multisets, and linked texts form groups. Links are verified in two
 rounds: each text's most frequent centre, then every other link whose ends are not yet in one group; so a group of n
-copies costs about n verifications, and no pair list of a group is ever made.
+copies costs about n verifications. In a band value whose texts are then still in several groups, every two texts of
+different groups are compared (`crossed`), in blocks of bounded size that give back no more links than join their groups;
+so any two texts that share a band value are in one group or have been compared, and no pair list is ever made.
 
 Defined results: a null text is empty; equal texts are copies, empty ones included; a text of one to four words is one
 shingle of all its words; a text without words is like no other text; a group's id is its smallest doc_id (nulls last);
@@ -32,6 +34,8 @@ from .common import claim, materialize, small_batches, text_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+#: Texts of a band value that are compared at once: those of one or two blocks of about this many.
+BLOCK = 256
 #: A stream is cut off by the signature alone; batches are cut at this many bytes of text.
 BATCH_BYTES = 4 << 20
 _U = np.uint64
@@ -241,6 +245,94 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return materialize(right.mapInArrow(checked, "node long, centre long"), "links")
 
 
+def overlaps(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
+    """docs x docs, filled above the diagonal: the sum of the smaller weights of each two multisets sorted by document."""
+    # The k-th copy of an element is an element of its own: what two sets share is then a product of 0-1 matrices.
+    copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    one = mixed(np.repeat(element, weight) + copy.astype(_U) * _P)
+    order = np.argsort(one, kind="stable")
+    one, of = one[order], np.repeat(doc, weight)[order]
+    begins = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]])[: len(one)])
+    n = np.diff(np.concatenate([begins, [len(one)]]))
+    column, held = np.repeat(np.arange(len(n)), n), np.repeat(n, n)
+    table = np.zeros((docs, docs))
+    few = np.flatnonzero((held > 1) & (held <= 8))
+    c, d = column[few], of[few]
+    for step in range(1, 8):
+        at = np.flatnonzero(c[step:] == c[:-step])
+        table += np.bincount(d[at] * docs + d[at + step], minlength=docs * docs).reshape(docs, docs)
+    many = np.flatnonzero(held > 8)
+    if len(many):
+        c, d = np.unique(column[many], return_inverse=True)[1], of[many]
+        for low in range(0, int(c[-1]) + 1, 4096):
+            a, b = np.searchsorted(c, (low, low + 4096))
+            dense = np.zeros((docs, 4096), np.float32)
+            dense[d[a:b], c[a:b] - low] = 1
+            table += dense @ dense.T
+    return np.triu(table, 1)
+
+
+def forest(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> list[int]:
+    """Of the links a[i]-b[i], those that join groups not yet joined by the ones before."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    _, first = np.unique(np.stack([group[a], group[b]]), axis=1, return_index=True)
+    chosen = []
+    for i in first.tolist():
+        x, y = top(int(group[a[i]])), top(int(group[b[i]]))
+        if x != y:
+            up[x] = y
+            chosen.append(i)
+    return chosen
+
+
+def crossed(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Similar texts (node, centre) of different groups that share a band value; all such texts are compared.
+
+    A band value's texts are dealt to blocks of about BLOCK, and each two blocks, or one with itself, make a cell. Values of
+    two texts are left out, whose one link has been verified.
+    """
+    small_batches(shared.sparkSession, 256)
+    here = shared.select("node", "key").join(roots.select(again(F.col("node")).alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wide = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("n > 2 and _a <> _b")
+    rows = here.join(wide.select(again(F.col("key")).alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("p")), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "p").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    rows = rows.select("node", "root", "block", "key", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
+    rows = materialize(rows, "cells")
+    rows = rows.join(texts.select(again(F.col("node")).alias("node"), "text"), "node")
+
+    def compared(table: pa.Table) -> pa.Table:
+        claim("minhash", release)
+        table = table.combine_chunks()
+        node, root, block, x, y = (table.column(c).to_numpy() for c in ("node", "root", "block", "x", "y"))
+        group, n = np.unique(root, return_inverse=True)[1].ravel(), len(node)
+        a = b = np.zeros(0, np.int64)
+        if n and group.any():
+            made, base = [], 0
+            column = table.column("text")
+            for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+                for low, _, data, offsets in slices(chunk):
+                    d, e, w = shingles(data, offsets)
+                    made.append((d + base + low, e, w))
+                base += len(chunk)
+            doc, element, weight = (np.concatenate(z) for z in zip(*made, strict=True))
+            both, total = overlaps(doc, element, weight, n), np.bincount(doc, weight, n)
+            either = total[:, None] + total[None, :] - both
+            near = (both > 0) & (both >= (similarity - 1e-12) * either) & (group[:, None] != group[None, :])
+            if x[0] != y[0]:
+                near &= block[:, None] != block[None, :]
+            a, b = np.nonzero(near)
+        good = forest(a, b, group) if len(a) else []
+        return pa.table({"node": pa.array(node[a[good]], pa.int64()), "centre": pa.array(node[b[good]], pa.int64())})
+
+    return materialize(rows.groupBy("key", "x", "y").applyInArrow(compared, "node long, centre long"), "crossed")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link; root is one node of its group.
 
@@ -276,7 +368,8 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     banded = materialize(bands(docs.select("_node", text_of(text).alias("_text"))), "bands")
     rank = F.xxhash64("node", "key")
     centres = banded.groupBy("key").agg(F.min_by("node", rank).alias("centre"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select(again(F.col("key")).alias("key"), "centre")
-    met = banded.join(centres, "key").where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialize(banded.join(centres, "key").select("node", "key", "centre").distinct(), "shared")
+    met = shared.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"))
     met = materialize(met, "candidates")
     # Texts that have a candidate link, one row each, picked by text and id so that copies do not meet.
     ends = met.select("node").union(met.select(F.col("centre").alias("node"))).distinct()
@@ -295,7 +388,12 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     if not rest.isEmpty():
         more = verified(rest, texts, similarity)
         if not more.isEmpty():
-            roots = components(links.union(more))
+            links = links.union(more)
+            roots = components(links)
+    # Texts that are like each other may both be unlike their centres.
+    more = crossed(shared, roots, texts, similarity)
+    if not more.isEmpty():
+        roots = components(links.union(more))
     known = nodes.join(roots.select(again(F.col("node")).alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = known.groupBy("root").agg(F.min("first_id").alias("group_id"))
     return docs, materialize(known.join(best.select(again(F.col("root")).alias("root"), "group_id"), "root").select("node", "first_id", "root", "group_id"), "groups")

@@ -133,6 +133,29 @@ def test_groups_equal_brute_force(spark):
     assert minhash.digest(rows.limit(0)).count() == 0
 
 
+def test_pairs_in_a_family_just_below_the_threshold(spark):
+    rng = random.Random(5)
+    common, texts = [f"c{i}" for i in range(200)], []
+    for i in range(240):  # any two of the family are at 0.790, the planted pairs 0-1, 2-3, ... 78-79 at 0.812
+        own = [f"{'p' if i < 80 and j < 3 else 'u'}{i // 2 if i < 80 and j < 3 else i}x{j}" for j in range(26)]
+        texts.append(" ".join(common + own))
+    order = list(range(240))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    wanted = groups(texts)
+    assert len(set(wanted)) == 200
+    got = {r["doc_id"]: r["group_id"] for r in minhash.digest(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(240)] == wanted
+
+
+def test_overlaps_count_weights():
+    rng = np.random.default_rng(3)
+    w = rng.integers(0, 4, (40, 9000)) * (rng.random((40, 9000)) < np.where(np.arange(9000) < 4500, 0.08, 0.6))
+    d, e = np.nonzero(w)
+    got = minhash.overlaps(d, e.astype(np.uint64), w[d, e], 40)
+    assert all(got[i, j] == np.minimum(w[i], w[j]).sum() for i in range(40) for j in range(i + 1, 40)) and not np.tril(got).any()
+
+
 def test_null_ids(spark):
     rows = spark.createDataFrame([(None, "p q r s t u"), (None, "p q r s t u"), (3, "p q r s t u"), (None, "other words stand in this one")], "doc_id long, text string")
     assert sorted((r["doc_id"] is None, r["text"][0]) for r in minhash.keep_one(rows).collect()) == [(False, "p"), (True, "o")]
