@@ -387,7 +387,7 @@ def bib_parse(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tex_tree(spark: SparkSession, d: str) -> DataFrame:
     """The documents of a block as a LaTeX paper of sections, parsed to its elements."""
-    docs = views.table(spark, d, "documents").where("doc_id < 200").select(views.paper_id().alias("paper_id"), "doc_id", F.concat(F.lit("\\section{Document "), F.col("doc_id").cast("string"), F.lit("}\n"), F.translate("text", "\\{}$%", "")).alias("t"))
+    docs = views.table(spark, d, "documents").select(views.paper_id().alias("paper_id"), "doc_id", F.concat(F.lit("\\section{Document "), F.col("doc_id").cast("string"), F.lit("}\n"), F.translate("text", "\\{}$%", "")).alias("t"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n")
     tex = docs.groupBy("paper_id").agg(F.concat(F.lit("\\documentclass{article}\\begin{document}\n"), body, F.lit("\n\\end{document}")).alias("tex"))
     files = tex.select("paper_id", F.lit("v1").alias("version"), F.lit("main.tex").alias("path"), F.encode("tex", "UTF-8").alias("content"))

@@ -114,3 +114,18 @@ def test_stream(spark, tmp_path):
     normalize.start(normalize.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert row["title_tokens"] == ["deep"] and row["author_tokens"] == ["ann", "lee"]
+
+
+def test_tex_tree_takes_all_documents(spark, tmp_path):
+    from refweave.plans import queries
+
+    texts = {i: f"Alpha {i} stands here. Beta {i} ends." for i in [0, 1, 39, 40, 199, 200, 201, 399, 4000]}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["tex_tree"](spark, str(tmp_path)).collect()
+    text = {r["id"]: r["text"] for r in got}
+    found = {(r["paper_id"], text.get(r["parent"]), r["text"]) for r in got}
+    plain = set()
+    for i, body in texts.items():
+        paper, title = f"p{i // 40:05d}", f"Document {i}"
+        plain |= {(paper, None, ""), (paper, "", title)} | {(paper, title, x) for x in (body.split(". ")[0] + ".", body.split(". ")[1])}
+    assert found == plain
