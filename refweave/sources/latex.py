@@ -102,8 +102,9 @@ class Tree:
         self.elements: dict[str, str] = {f"{paper}::root": ""}
         self.children: dict[str, list[str]] = {}
 
-    def add(self, prefix: str, text: str, parent: str) -> str:
-        norm = re.sub(r"\s+", " ", text.lower()).strip()
+    def add(self, prefix: str, text: str, parent: str, key: str | None = None) -> str:
+        """The id of the element, told apart by `key`, or by its text."""
+        norm = re.sub(r"\s+", " ", (text if key is None else key).lower()).strip()
         if (prefix, norm) not in self.known:
             n = self.counts[prefix] = self.counts.get(prefix, 0) + 1
             self.known[prefix, norm] = f"{self.paper}::{prefix}_{n:03d}::{hashlib.sha1(norm.encode()).hexdigest()[:6]}"
@@ -144,7 +145,7 @@ def add_body(tree: Tree, text: str, parent: str) -> None:
         add_sentences(tree, text[at : m.start()], parent)
         at = m.end()
         if m[1] in LISTS:
-            own = tree.add("list", f"{m[1]} {cleaned(m[3])[:60]}", parent)
+            own = tree.add("list", m[1], parent, f"{m[1]}:{cleaned(m[3])}")
             for item in re.split(r"\\item(?:\[[^\]]*\])?", m[3])[1:]:
                 one = tree.add("item", cleaned(item), own)
                 if environment(item, LISTS).search(item):

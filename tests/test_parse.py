@@ -129,3 +129,11 @@ def test_tex_tree_takes_all_documents(spark, tmp_path):
         paper, title = f"p{i // 40:05d}", f"Document {i}"
         plain |= {(paper, None, ""), (paper, "", title)} | {(paper, title, x) for x in (body.split(". ")[0] + ".", body.split(". ")[1])}
     assert found == plain
+
+
+def test_lists_with_equal_beginnings_stay_apart():
+    tree, start = latex.Tree("p"), "the same long words " * 5
+    latex.parse_document(tree, "".join(rf"\section{{{x}}}\begin{{itemize}}\item {start}{x}\end{{itemize}}" for x in ("One", "Two")))
+    lists = [i for i in tree.elements if "::list_" in i]
+    assert len(lists) == 2 and {tree.elements[i] for i in lists} == {"itemize"} and all(len(tree.children[i]) == 1 for i in lists)
+    assert len({tree.parents()[i] for i in lists}) == 2
