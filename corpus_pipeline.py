@@ -31,8 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as piece ids, with the text that the ids decode to."""
-    coded = sentencepiece.decode(sentencepiece.encode(docs))
-    return coded.withColumns({"n_ids": F.size("ids").cast("long"), "n_chars": F.length("text").cast("long")})
+    return sentencepiece.recode(docs).withColumns({"n_ids": F.size("ids").cast("long"), "n_chars": F.length("text").cast("long")})
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("redact_pii", redact_pii), ("mix_sources", mix_sources), ("sentencepiece", pieces)]

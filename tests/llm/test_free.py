@@ -27,10 +27,10 @@ def test_pieces_equal_the_library():
     rng = random.Random(1)
     texts = ["", " ", None, "  a  b ", "▁x ▁▁", "\0b\0", "中国 𝒳\t12", "a" * 700, "the" * 200, " " * 50 + "end"]
     texts += ["".join(rng.choice("aethn ▁\n12.é中") for _ in range(rng.randint(1, 60))) for _ in range(800)]
-    for _ in range(2):  # new stretches, then kept ones
+    texts += ["".join(rng.choice("aethnoisr") for _ in range(rng.randint(1, 600))) for _ in range(100)]
+    for _ in range(2):  # verdicts on pairs are new, then kept
         ids, offsets = own.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [library.encode(t or "") for t in texts]
-        own.forget_unused()
     assert own.decode(ids.astype(np.int64), offsets) == [library.decode(library.encode(t or "")) for t in texts]
     assert own.model.merged("the" * 40) == own.model.merged_long("the" * 40)
 
@@ -41,6 +41,37 @@ def test_suffix_array_finds_every_occurrence():
     assert [tuple(text[i : i + 8]) for i in order] == sorted(tuple(text[i : i + 8]) for i in range(len(text)))
 
 
+def test_neighbours_are_what_merging_leaves():
+    model = sentencepiece.Encoder(sentencepiece.model_bytes()).model
+    rng = np.random.default_rng(7)
+    usable = model.sorted_ids
+    a, b = rng.choice(usable, 4000), rng.choice(usable, 4000)
+    a[:1000], b[:1000] = model.right[a[1000:2000]], model.left[b[1000:2000]]
+    want = [model.merged(model.pieces[x] + model.pieces[y]) == [model.pieces[x], model.pieces[y]] for x, y in zip(a, b, strict=True)]
+    assert [model.neighbour(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)] == want
+    assert model.neighbours(a, b).tolist() == want and 0 < sum(want) < 4000
+
+
+def test_occurrences_are_all(spark):
+    coder = sentencepiece.Encoder(sentencepiece.model_bytes())
+    text = "▁the▁theatre\0▁they中▁"
+    at, row = sentencepiece.occurrences(np.array([ord(c) for c in text], np.int64), coder.model)
+    got = sorted((int(i), coder.model.pieces[coder.model.sorted_ids[r]]) for i, r in zip(at, row, strict=True))
+    usable = {coder.model.pieces[k] for k in coder.model.sorted_ids}
+    assert got == sorted((i, text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in usable)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abcdeé中") for _ in range(30_000)), "ab " * 400_000, " " * 5000]
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    rows = spark.createDataFrame([(i, t, "mine", "own") for i, t in enumerate(long)], "doc_id long, text string, ids string, decoded string")
+    got = sentencepiece.recode(rows, decoded="again").orderBy("doc_id").collect()
+    assert [list(r["ids"]) for r in got] == [library.encode(t) for t in long] and all(r["text"] == r["again"] and r["decoded"] == "own" for r in got)
+    coded = sentencepiece.decode(sentencepiece.encode(rows), text="again").orderBy("doc_id").collect()
+    assert [(list(r["ids"]), r["again"]) for r in coded] == [(list(r["ids"]), r["again"]) for r in got]
+
+
 def test_pieces_in_spark(spark):
     rows = sentencepiece.digest(docs(spark, ["Hello  world\n", None, "", "é" * 30, "Hello  world\n"])).orderBy("doc_id").collect()
     assert all(r["round_trip"] for r in rows) and rows[0]["ids"] == rows[4]["ids"] and rows[1]["n_ids"] == rows[2]["n_ids"] == 0
