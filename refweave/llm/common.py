@@ -1,25 +1,38 @@
-"""Helpers that the corpus operators share: shared-folder tables, skew-safe joins, word arrays."""
+"""Helpers that the corpus operators share: shared-folder tables, skew-safe joins, names and batches."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts, as the inside of a character class (fixed value).
 WS = r"\x20\x09-\x0D"
+#: Bytes of texts that a Python worker deals with at once; a longer text is dealt with by itself, whole.
+RUN_BYTES = 8 << 20
+
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, one of our own on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/") + "/refweave"
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or f"{tempfile.gettempdir()}/checkpoints").rstrip("/") + "/refweave"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, which `intermediates` deletes if it is made within one."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -33,9 +46,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the Arrow batches handed to Python workers (whole long texts stay in a batch)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def paths_of(df: DataFrame) -> set[str]:
+    """Folders of the files that `df` reads."""
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written within the block are deleted at its end, but those that a DataFrame put into the list reads."""
+    first, keep = len(_made), []
+    yield keep
+    read = {p.split(":", 1)[-1].lstrip("/") for df in keep for p in paths_of(df)}
+    for path in _made[first:]:
+        if path.split(":", 1)[-1].lstrip("/") not in read:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _made.remove(path)
+
+
+def private(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores in front as it takes to be none of the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_of(column: str = "text") -> Column:
@@ -50,22 +84,33 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     execution can then split the hot partitions of `left`, which it cannot where an aggregate sits right above the
     shuffle.
     """
-    again = right.withColumn("_k", F.concat(F.col(key).cast("string"), F.lit(""))).drop(key)
-    return left.withColumn("_k", F.col(key).cast("string")).join(again, "_k", how).drop("_k")
+    k = private(left, "_k")
+    again = right.withColumn(k, F.concat(F.col(key).cast("string"), F.lit(""))).drop(key)
+    return left.withColumn(k, F.col(key).cast("string")).join(again, k, how).drop(k)
 
 
 def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
-_KEPT: dict[str, Callable[[], None]] = {}
-
-
-def claim(operator: str, release: Callable[[], None]) -> None:
-    """Say, in a Python worker, that `operator` runs there now; what other operators keep in memory is let go.
-
-    Spark hands workers on from stage to stage, and their caches would add up.
-    """
-    for name in [n for n in _KEPT if n != operator]:
-        _KEPT.pop(name)()
-    _KEPT[operator] = release
+def widths(column: pa.Array) -> list[int]:
+    """Bytes of each row of a string, binary or list column, about."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not (wide or pa.types.is_string(column.type) or pa.types.is_binary(column.type)):
+        offsets = np.asarray(column.offsets)
+        return (np.diff(offsets) * 4).tolist()
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32) if len(column) else np.zeros(1, np.int32)
+    return np.diff(offsets[column.offset : column.offset + len(column) + 1]).tolist()
+
+
+def runs(*columns: pa.Array, most: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """[a, b) of stretches of rows that hold about `most` bytes in the columns together, one row at least."""
+    a = total = b = 0
+    for b, sizes in enumerate(zip(*map(widths, columns), strict=True)):
+        size = sum(sizes)
+        if b > a and total + size > most:
+            yield a, b
+            a, total = b, 0
+        total += size
+    if len(columns[0]):
+        yield a, b + 1

@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
 
 #: Elements (fixed values): those that start a block; without content; whose content is not text; that are not main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -211,7 +210,7 @@ def main_text(page: str | None) -> str:
 
 def with_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """`pages` with main_text."""
-    small_batches(pages.sparkSession)
+
     pages = pages.drop("main_text")
     schema = T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())])
 

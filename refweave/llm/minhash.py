@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialize, small_batches, text_of
+from .common import materialize, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -197,10 +197,8 @@ def again(key: Column) -> Column:
 
 def bands(nodes: DataFrame) -> DataFrame:
     """(node, key) for each band of each row's (_node, _text)."""
-    small_batches(nodes.sparkSession, 1024)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("minhash", release)
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in slices(batch.column(1)):
@@ -228,12 +226,10 @@ def multiset(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The links (node, centre) whose multisets are similar enough."""
-    small_batches(links.sparkSession, 256)
     left = links.join(texts.select(F.col("node"), F.col("text").alias("a")), "node")
     right = left.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("b")), "centre").select("node", "centre", "a", "b")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("minhash", release)
         for batch in batches:
             last, known, good = None, None, []
             for x, a, c, b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 1, 3)), strict=True):
@@ -297,7 +293,6 @@ def crossed(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
     A band value's texts are dealt to blocks of about BLOCK, and each two blocks, or one with itself, make a cell. Values of
     two texts are left out, whose one link has been verified.
     """
-    small_batches(shared.sparkSession, 256)
     here = shared.select("node", "key").join(roots.select(again(F.col("node")).alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     wide = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("n > 2 and _a <> _b")
     rows = here.join(wide.select(again(F.col("key")).alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("p")), "key")
@@ -307,7 +302,6 @@ def crossed(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
     rows = rows.join(texts.select(again(F.col("node")).alias("node"), "text"), "node")
 
     def compared(table: pa.Table) -> pa.Table:
-        claim("minhash", release)
         table = table.combine_chunks()
         node, root, block, x, y = (table.column(c).to_numpy() for c in ("node", "root", "block", "x", "y"))
         group, n = np.unique(root, return_inverse=True)[1].ravel(), len(node)

@@ -6,12 +6,13 @@ spans and take none away.
 
 Defined results: a null text is empty; repeated rows are scanned as often as they occur; ties at one start go to the
 kind listed first; an empty table gives an empty result; further columns pass through `with_spans` unless they bear the
-name of the column that it adds, which then replaces them. Positions are code points, ends exclusive. A worker holds
-one Arrow batch of whole texts.
+name of the column that it adds, which then replaces them. Positions are code points, ends exclusive. A very long text is
+scanned whole, in time linear in its length (`Scanner.onward` says why); a worker holds one Arrow batch.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import compile_rules
-from .common import small_batches, text_of
+from .common import private, runs, text_of
 
 
 class Rule(NamedTuple):
@@ -84,6 +85,29 @@ class Scanner:
         self.ahead = [(d.next.tolist(), d.accepts.tolist(), d.start, d.dead) for d in self.forward]
         self.back = [(d.next.tolist(), d.accepts.tolist(), d.start, d.dead) for d in self.backward]
 
+    def onward(self, k: int, data: bytes, start: int, failed: list[tuple[int, array]]) -> int | None:
+        """How many bytes from `start` rule k's longest match takes.
+
+        Scans that found none leave their states in `failed`; a later one that comes into the same state at the same place
+        can find none either. So a place is passed once a state at most, and the time is linear in the text.
+        """
+        table, accepts, state, dead = self.ahead[k]
+        failed[:] = [f for f in failed if f[0] + len(f[1]) > start]
+        best, path = None, array("H")
+        for i in range(start, len(data)):
+            state = table[state][data[i]]
+            if state == dead:
+                break
+            if accepts[state]:
+                best = i + 1 - start
+            elif best is None:
+                if any(0 <= i - first < len(states) and states[i - first] == state for first, states in failed):
+                    break
+                path.append(state)
+        if best is None and path:
+            failed.append((start, path))
+        return best
+
     @staticmethod
     def reach(machine: tuple, data: bytes, positions: range) -> int | None:
         """How many bytes of `positions` the longest match takes."""
@@ -100,7 +124,7 @@ class Scanner:
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, by start, then rule. Each rule's matches don't overlap; failing ones are dropped."""
         found: list[tuple[int, int, int]] = []
-        upto = [0] * len(self.rules)
+        upto, failed = [0] * len(self.rules), [[] for _ in self.rules]
         state, at, n = self.all.start, 0, len(data)
         hits, table = self.hits, self.next
         while at < n:
@@ -116,7 +140,7 @@ class Scanner:
                 k = (mask & -mask).bit_length() - 1
                 mask &= mask - 1
                 if at > upto[k]:
-                    self.take(data, at, k, upto, found)
+                    self.take(data, at, k, upto, found, failed[k])
         return sorted(found)
 
     def run(self, data: bytes, at: int, state: int) -> tuple[int, int]:
@@ -131,12 +155,12 @@ class Scanner:
                 return at + k + 1, self.next[self.number[id(before)]][b]
         return len(data), self.number[id(row)]
 
-    def take(self, data: bytes, at: int, k: int, upto: list[int], found: list) -> None:
+    def take(self, data: bytes, at: int, k: int, upto: list[int], found: list, failed: list) -> None:
         back = self.rules[k].mark_bytes or self.reach(self.back[k], data, range(at - 1, upto[k] - 1, -1))
         if back is None or at - back < upto[k]:
             return
         start = at - back
-        length = self.reach(self.ahead[k], data, range(start, len(data)))
+        length = self.onward(k, data, start, failed)
         if length is None:
             return
         end = start + length
@@ -168,17 +192,19 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with secret_spans, an array of (start, kind, end)."""
-    small_batches(docs.sparkSession)
-    docs = docs.drop("secret_spans").withColumn("_t", text_of(text))
+    docs = docs.drop("secret_spans")
+    t = private(docs, "_t")
+    docs = docs.withColumn(t, text_of(text))
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "_t"] + [T.StructField("secret_spans", kind)])
+    schema = T.StructType([f for f in docs.schema.fields if f.name != t] + [T.StructField("secret_spans", kind)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"start": s, "kind": RULES[k].kind, "end": e} for s, k, e in find(t)] for t in batch.column("_t").to_pylist()]
-            rest = [i for i, name in enumerate(batch.schema.names) if name != "_t"]
-            made = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], made], [*[batch.schema.names[i] for i in rest], "secret_spans"])
+            rest = [name for name in batch.schema.names if name != t]
+            for a, b in runs(batch.column(t)):
+                spans = [[{"start": s, "kind": RULES[k].kind, "end": e} for s, k, e in find(x)] for x in batch.column(t).slice(a, b - a).to_pylist()]
+                made = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], made], [*rest, "secret_spans"])
 
     return docs.mapInArrow(scan, schema)
 

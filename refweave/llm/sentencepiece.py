@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import runs
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Types of pieces in a model's file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Characters of distinct stretches that are indexed at once, and bytes of text that are dealt with at once.
-INDEXED, TEXT_BYTES = 400_000, 8 << 20
+#: Characters of distinct stretches that are indexed at once.
+INDEXED = 400_000
 #: Verdicts on pairs of pieces that are kept.
 PAIR_SLOTS = 1 << 20
 #: Stretches over this many characters are relaxed one by one.
@@ -484,24 +486,6 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def runs(sizes: list[int], most: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
-    """Stretches of rows of about `most` bytes together."""
-    a = total = 0
-    for b, size in enumerate(sizes):
-        if b > a and total + size > most:
-            yield a, b
-            a, total = b, 0
-        total += size
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
-def widths(column: pa.Array) -> list[int]:
-    """Bytes of each row of a string or list column, about."""
-    offsets = np.asarray(column.offsets) if isinstance(column, pa.ListArray) else np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.string() else np.int64)[column.offset : column.offset + len(column) + 1]
-    return (np.diff(offsets) * (4 if isinstance(column, pa.ListArray) else 1)).tolist()
-
-
 def mapped(df: DataFrame, from_: str, added: list[tuple[str, T.DataType]], make: Callable[[Encoder, pa.Array], list[pa.Array]], model: str, keep_input: bool = True) -> DataFrame:
     """`df` with the columns that `make` gives for a run of rows of the column `from_`, in one pass through Python."""
     shared: SparkSession = df.sparkSession
@@ -513,7 +497,7 @@ def mapped(df: DataFrame, from_: str, added: list[tuple[str, T.DataType]], make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(from_)
-            for a, b in runs(widths(column)):
+            for a, b in runs(column):
                 made = make(coder.value, column.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], *made], [*rest, *names])
 

@@ -1,16 +1,18 @@
 """WARC archives: pages written as records, long ones in segments, and read back.
 
-Writing is plain DataFrame work: each page becomes a response record whose block is an HTTP message in chunked transfer
-framing, or, where another page has the same payload and a smaller id, a revisit record without a body. Blocks over
-SEGMENT bytes are cut into a first record and continuation records. Records go to gzip files of RECORDS at most, so a
-file, read back as a whole, has a proven size bound.
+Writing is plain DataFrame work: each row becomes a response record whose block is an HTTP message in chunked transfer
+framing, or, where another page has the same payload and a smaller id, a revisit record without a body that names the
+payload by its digest (the profile identical-payload-digest). Blocks over SEGMENT bytes are cut into a first record and
+continuation records. Records go to gzip files of RECORDS at most, so a file, read back as a whole, has a proven size
+bound; a file is one gzip stream.
 
-Reading parses each file by the records' lengths, groups continuation records by origin identifier, orders them by
+Reading parses each file once by the records' lengths, groups continuation records by origin identifier, orders them by
 segment number, verifies the total length, decodes the chunked framing and checks the payload's digest.
 
-Defined results: a null html is an empty payload; a null url has no target; a null page_id comes back null; rows that
-repeat a page_id with the same payload come back once; of equal payloads the smallest page_id is the response; an empty
-table gives no archive and an empty result; columns other than page_id, url and html are not archived.
+Defined results: a null html is an empty payload; a null url has no target; a null page_id comes back null; a row that is
+repeated has a record, with an identifier of its own, each time; of equal payloads the smallest page_id is the response,
+at each of its rows; an empty table gives no archive and an empty result; columns other than page_id, url and html are
+not archived. A very long page is written in segments and put together again in one task, which holds that page.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, scratch_path, small_batches
+from .common import RUN_BYTES, join_unique, materialize, scratch_path
 
 SEGMENT = 64 * 1024
 CHUNK = 8 * 1024
 RECORDS = 256
 DATE = "2024-01-01T00:00:00Z"
+#: The profile of revisit records (fixed value of the format).
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Transfer-Encoding: chunked{CRLF}{CRLF}"
 
@@ -56,24 +60,29 @@ def chunked(payload: Column, size: int = CHUNK) -> Column:
     return F.concat(F.array_join(framed, ""), F.lit(f"0{CRLF}{CRLF}"))
 
 
-def record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.coalesce(page_id.cast("string"), F.lit("null")), digest))
+def record_id(*parts: Column) -> Column:
+    h = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ((F.lit("-"),) if a > 1 else ()) + (F.substring(h, a, n),)], F.lit(">"))
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK) -> None:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
-    first = page.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    page = join_unique(page, first, "digest")
+    first = page.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"))
+    first = first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
+    # The running number tells repeated rows apart; it is drawn once a row, before the row is cut into segments.
+    page = join_unique(page, first, "digest").withColumn("nth", F.monotonically_increasing_id())
     again = ~F.col("page_id").eqNullSafe(F.col("first_id"))
     block = F.when(again, F.lit("")).otherwise(F.concat(F.lit(HTTP), chunked(F.col("payload"), chunk)))
     header = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
+    address = lambda url: F.regexp_replace(url, r"[\x00-\x20]", "%20")
+    refers = F.concat(header("WARC-Profile", F.lit(PROFILE)), header("WARC-Refers-To-Target-URI", address("first_url")), header("WARC-Refers-To-Date", F.lit(DATE)), header("Refers-To-Page-ID", F.col("first_id")))
     about = F.concat(
-        header("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20")), header("Page-ID", F.col("page_id")), header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(again, header("WARC-Refers-To", record_id(F.col("first_id"), F.col("digest")))).otherwise(F.lit("")), F.when(again, header("Refers-To-Page-ID", F.col("first_id"))).otherwise(F.lit("")),
+        header("WARC-Target-URI", address("url")), header("Page-ID", F.col("page_id")),
+        header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.when(again, refers).otherwise(F.lit("")),
     )
-    page = page.select(F.when(again, "revisit").otherwise("response").alias("type"), record_id(F.col("page_id"), F.col("digest")).alias("id"), about.alias("about"), block.cast("binary").alias("block"))
+    own = record_id(F.col("page_id"), F.col("digest"), F.col("nth"))
+    page = page.select(F.when(again, "revisit").otherwise("response").alias("type"), own.alias("id"), about.alias("about"), block.cast("binary").alias("block"))
     cut = F.when(F.octet_length("block") == 0, F.array(F.col("block"))).otherwise(pieces(F.col("block"), segment))
     page = page.withColumns({"total": F.octet_length("block"), "n": F.greatest(F.lit(1), F.ceil(F.octet_length("block") / segment))}).select("type", "id", "about", "total", "n", F.posexplode(cut).alias("i", "part"))
     more, last = F.col("i") > 0, F.col("i") == F.col("n") - 1
@@ -126,14 +135,25 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-COLUMNS = "id string, type string, page_id long, url string, refers_to long, refers_to_id string, declared string"
-SEGMENTS = f"{COLUMNS}, origin string, number int, total long, block binary"
-PAYLOADS = f"{COLUMNS}, payload binary, payload_bytes long, payload_digest string"
+COLUMNS = "id string, type string, page_id long, url string, refers_to long, declared string"
+PAYLOAD = "payload binary, payload_bytes long, payload_digest string"
+PAYLOADS = f"{COLUMNS}, {PAYLOAD}"
+RECORD = f"{COLUMNS}, number int, total long, block binary, {PAYLOAD}"
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def arrow_schema(text: str) -> pa.Schema:
+    return pa.schema([(n, ARROW[t]) for n, t in (x.split() for x in text.split(", "))])
 
 
 def about(fields: dict[str, str]) -> dict:
+    """A record's row; continuation records go by the identifier of their first one."""
     number = lambda k: int(fields[k]) if k in fields else None
-    return {"id": fields["WARC-Record-ID"], "type": fields["WARC-Type"], "page_id": number("Page-ID"), "url": fields.get("WARC-Target-URI"), "refers_to": number("Refers-To-Page-ID"), "refers_to_id": fields.get("WARC-Refers-To"), "declared": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")}
+    return {
+        "id": fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]), "type": fields["WARC-Type"], "page_id": number("Page-ID"), "url": fields.get("WARC-Target-URI"),
+        "refers_to": number("Refers-To-Page-ID"), "declared": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"),
+        "number": number("WARC-Segment-Number"), "total": number("WARC-Segment-Total-Length"),
+    }
 
 
 def whole(row: dict, message: bytes, keep: bool) -> dict:
@@ -145,57 +165,57 @@ def whole(row: dict, message: bytes, keep: bool) -> dict:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row a page's record: COLUMNS, payload (null if not asked for), payload_bytes, payload_digest."""
-    small_batches(spark, 8)
+    """One row a page's record: COLUMNS, payload (null if not asked for), payload_bytes, payload_digest.
+
+    The files are read once: what they hold is written to the shared folder, payloads of records in one piece already
+    decoded, segments as they are.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
-    arrow = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    kinds = lambda text: pa.schema([(n, arrow[t]) for n, t in (x.split() for x in text.split(", "))])
-    to = kinds(PAYLOADS), kinds(SEGMENTS)
+    record, page = arrow_schema(RECORD), arrow_schema(PAYLOADS)
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, str], memoryview]]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for content in batch.column(0):
-                yield from records(gzip.decompress(content.as_py()))
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for fields, block in opened(batches):
-            if "WARC-Segment-Number" in fields or fields["WARC-Type"] not in ("response", "revisit"):
-                continue
-            row = about(fields)
-            rows.append(row | {"payload": None, "payload_bytes": None, "payload_digest": None} if row["type"] == "revisit" else whole(row, bytes(block), payloads))
-            if len(rows) == RECORDS:
-                yield pa.RecordBatch.from_pylist(rows, schema=to[0])
-                rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema=to[0])
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fields, block in opened(batches):
-            if "WARC-Segment-Number" in fields:
-                row = about(fields) | {"origin": fields.get("WARC-Segment-Origin-ID", fields["WARC-Record-ID"]), "number": int(fields["WARC-Segment-Number"]), "total": int(fields["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in fields else None, "block": bytes(block)}
-                yield pa.RecordBatch.from_pylist([row], schema=to[1])
+                for fields, block in records(gzip.decompress(content.as_py())):
+                    if fields["WARC-Type"] not in ("response", "revisit", "continuation"):
+                        continue
+                    row = about(fields)
+                    if row["number"] is not None:
+                        row["block"] = bytes(block)
+                    elif row["type"] == "response":
+                        row = whole(row, bytes(block), payloads)
+                    rows.append(row)
+                    held += len(block)
+                    if len(rows) == RECORDS or held > RUN_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=record)
+                        rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=record)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 blocks = {x["number"]: x["block"] for x in row.pop("parts")}
                 total = row.pop("total")
                 message = b"".join(blocks[k] for k in sorted(blocks))
                 if sorted(blocks) != list(range(1, len(blocks) + 1)) or len(message) != total:
                     raise ValueError(f"segments of {row['id']} are missing or do not have its total length")
-                yield pa.RecordBatch.from_pylist([whole(row, message, payloads)], schema=to[0])
+                yield pa.RecordBatch.from_pylist([whole(row, message, payloads)], schema=page)
 
+    found = materialize(files.mapInArrow(opened, RECORD), "records")
     head = [x.split()[0] for x in COLUMNS.split(", ") if not x.startswith("id ")]
     firsts = [F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in head]
-    grouped = files.mapInArrow(parts, SEGMENTS).groupBy(F.col("origin").alias("id")).agg(*firsts, F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
-    return files.mapInArrow(single, PAYLOADS).unionByName(grouped.mapInArrow(joined, PAYLOADS))
+    parts = found.where("number is not null").groupBy("id").agg(*firsts, F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
+    names = [x.split()[0] for x in PAYLOADS.split(", ")]
+    return found.where("number is null").select(*names).unionByName(parts.mapInArrow(joined, PAYLOADS))
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """Give revisits the length and digest of the response that they refer to."""
-    response = found.where("type = 'response'").groupBy(F.col("id").alias("refers_to_id")).agg(F.max("payload_bytes").alias("_n"), F.max("payload_digest").alias("_d"))
-    out = join_unique(found, response, "refers_to_id")
-    return out.withColumns({"payload_bytes": F.coalesce("payload_bytes", "_n"), "payload_digest": F.coalesce("payload_digest", "_d")}).drop("_n", "_d")
+    """Give revisits the length and digest of the response whose payload they name."""
+    response = found.where("type = 'response'").groupBy(F.col("payload_digest").alias("declared")).agg(F.max("payload_bytes").alias("_n"))
+    out = join_unique(found, response, "declared")
+    return out.withColumns({"payload_bytes": F.coalesce("payload_bytes", "_n"), "payload_digest": F.coalesce("payload_digest", "declared")}).drop("_n")
 
 
 def digest(pages: DataFrame) -> DataFrame:
@@ -203,4 +223,4 @@ def digest(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     found = resolve(read_archives(spark, path, payloads=False).drop("payload"))
-    return found.groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("type").alias("record_type"), F.first("refers_to").alias("refers_to"))
+    return found.select("page_id", "payload_digest", "payload_bytes", F.col("type").alias("record_type"), "refers_to")

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -100,7 +101,17 @@ def test_archives(spark, tmp_path):
         data = (html or "").encode()
         assert out[page_id]["payload_bytes"] == len(data) and out[page_id]["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
     assert {k: (r["record_type"], r["refers_to"]) for k, r in out.items() if r["record_type"] == "revisit"} == {4: ("revisit", 1), 5: ("revisit", 2), 7: ("revisit", 3)}
-    assert warc.digest(pages(spark, rows).union(pages(spark, rows[:1]))).count() == len(rows)
+    # A record, and so a row, each time a row is repeated; each record has an identifier of its own.
+    again = rows[:1] * 2 + rows[2:4] + rows
+    twice = collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.digest(pages(spark, again)).collect())
+    once = {k: (k, r["record_type"], r["refers_to"], r["payload_digest"]) for k, r in out.items()}
+    assert twice == collections.Counter(once[r[0]] for r in again)
+    warc.write_archives(pages(spark, again), str(tmp_path / "again"), segment=50_000)
+    read = warc.read_archives(spark, str(tmp_path / "again")).collect()
+    assert len({r["id"] for r in read}) == len(read) == len(again)
+    text = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "again").glob("*.gz"))
+    revisits = [f for f, _ in warc.records(text) if f["WARC-Type"] == "revisit"]
+    assert revisits and all(f["WARC-Profile"] == warc.PROFILE for f in revisits)
     assert warc.digest(pages(spark, rows).limit(0)).count() == 0
 
 
