@@ -7,17 +7,20 @@ inside the interval keep just the points below them (the hierarchical split). A
 that reaches it; a stream stops once its time is past the largest component. Two signatures agree in a component with
 probability sum(min) / sum(max) of the weights.
 
-Signatures are cut into bands. Every band value's texts are linked to one of them (a centre that the value seeds, so that
-centres differ by band), links are verified on the multisets, and linked texts form groups. Links are verified in two
-rounds: each text's most frequent centre, then every other link whose ends are not yet in one group; so a group of n
-copies costs about n verifications. In a band value whose texts are then still in several groups, every two texts of
-different groups are compared (`crossed`), in blocks of bounded size that give back no more links than join their groups;
-so any two texts that share a band value are in one group or have been compared, and no pair list is ever made.
+Signatures are cut into bands, and links are verified on the multisets in three rounds. First every text with the main
+centre of most of its band values: of a value's texts the one that shares most values with others, which in a family of
+copies is the text nearest to all; so a group of n copies costs about n verifications. Then, where the ends are not yet in
+one group, with the main centres of its other values and with a second centre of each value, picked by hash. Last, where
+the texts of a band value are still in several groups, every two of them of different groups are compared (`crossed`): all
+texts that share a main centre at once, or each value for itself, whichever are fewer pairs, in blocks of bounded size that
+give back no more links than join their groups. So any two texts that share a band value are in one group or have been
+compared, and no pair list is ever made. The last round takes time with the square of a family's size, if its texts are like
+each other but just not similar enough.
 
 Defined results: a null text is empty; equal texts are copies, empty ones included; a text of one to four words is one
 shingle of all its words; a text without words is like no other text; a group's id is its smallest doc_id (nulls last);
-repeated rows are copies; an empty table gives an empty result; further columns pass through `keep_one`. Texts are told
-apart by 128-bit hashes.
+repeated rows are copies; an empty table gives an empty result; further columns, whatever their names, pass through
+`keep_one`. Texts are told apart by 128-bit hashes. A very long text is read whole, by itself.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import intermediates, materialize, private, runs, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
-#: Texts of a band value that are compared at once: those of one or two blocks of about this many.
-BLOCK = 256
-#: A stream is cut off by the signature alone; batches are cut at this many bytes of text.
+#: Texts that are compared at once: those of one or two blocks of about this many.
+BLOCK = 128
+#: Batches are cut at this many bytes of text.
 BATCH_BYTES = 4 << 20
 _U = np.uint64
 MASK = (1 << 64) - 1
@@ -58,19 +61,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
 
 
-_TABLES = powers(1 << 10)
+_held: list[tuple[np.ndarray, np.ndarray]] = [powers(1 << 10)]
 
 
 def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _TABLES
-    if len(_TABLES[0]) <= n:
-        _TABLES = powers(max(n, 2 * len(_TABLES[0])))
-    return _TABLES
-
-
-def release() -> None:
-    global _TABLES
-    _TABLES = powers(1 << 10)
+    """Powers up to n at least; those for a usual batch are kept, those for a longer text are made anew."""
+    if len(_held[0][0]) > n:
+        return _held[0]
+    if n > BATCH_BYTES:
+        return powers(n)
+    _held[0] = powers(min(2 * n, BATCH_BYTES))
+    return _held[0]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,18 +177,22 @@ def node_of(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit("b"), F.md5(text))
 
 
-def with_node(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(`docs` with _node, (node, first_id) a text). The few texts that share the first hash go by both hashes."""
+def with_node(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, DataFrame]:
+    """(`docs` with a column for the text's hash, its name, (node, first_id) a text).
+
+    Texts that share the first hash by chance (about one pair in 10 billion texts squared over 2**64) go by both hashes;
+    they are few, found by one count a hash, and joined back by a broadcast of bounded size or, beyond it, by a plain join.
+    """
     one, two = node_of(text_of(text))
-    hashed = docs.withColumns({"_h": one, "_g": two})
-    seen = materialize(hashed.groupBy("_h").agg(F.min("doc_id").alias("first_id"), F.min("_g").alias("_a"), F.max("_g").alias("_b")), "nodes")
-    clash = [r[0] for r in seen.where("_a <> _b").select("_h").limit(10_001).collect()]
-    if len(clash) > 10_000:
-        raise ValueError("far more hash collisions than chance allows")
-    if not clash:
-        return hashed.withColumn("_node", F.col("_h")).drop("_h", "_g"), seen.select(F.col("_h").alias("node"), "first_id")
-    hashed = hashed.withColumn("_node", F.when(F.col("_h").isin(clash), F.xxhash64("_h", "_g")).otherwise(F.col("_h"))).drop("_h", "_g")
-    return hashed, materialize(hashed.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("first_id")), "nodes")
+    h, g = private(docs, "_h"), private(docs, "_g")
+    hashed = docs.withColumns({h: one, g: two})
+    seen = materialize(hashed.groupBy(F.col(h).alias("h")).agg(F.min("doc_id").alias("first_id"), F.min(g).alias("a"), F.max(g).alias("b")), "nodes")
+    clash = seen.where("a <> b").select(F.col("h").alias(f"{h}_"), F.lit(True).alias(f"{g}_"))
+    if clash.isEmpty():
+        return hashed.drop(g), h, seen.select(F.col("h").alias("node"), "first_id")
+    both = F.when(F.col(f"{g}_"), F.xxhash64(h, g)).otherwise(F.col(h))
+    hashed = hashed.join(materialize(clash, "clashes"), F.col(h) == F.col(f"{h}_"), "left").withColumn(h, both).drop(g, f"{h}_", f"{g}_")
+    return hashed, h, materialize(hashed.groupBy(F.col(h).alias("node")).agg(F.min("doc_id").alias("first_id")), "nodes")
 
 
 def again(key: Column) -> Column:
@@ -230,13 +235,16 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     right = left.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("b")), "centre").select("node", "centre", "a", "b")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
         for batch in batches:
-            last, known, good = None, None, []
-            for x, a, c, b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 1, 3)), strict=True):
-                if c != last:
-                    last, known = c, multiset(b)
-                good.append(overlap(multiset(a), known) >= similarity - 1e-12 and x is not None)
-            yield batch.select(["node", "centre"]).filter(pa.array(good, pa.bool_()))
+            a, b = batch.column("a"), batch.column("b")
+            for low, high in runs(a, b):
+                good = []
+                for x, c, text, centre in zip(*(column.slice(low, high - low).to_pylist() for column in (batch.column("node"), batch.column("centre"), a, b)), strict=True):
+                    if c != last:
+                        last, known = c, multiset(centre)
+                    good.append(overlap(multiset(text), known) >= similarity - 1e-12 and x is not None)
+                yield batch.slice(low, high - low).select(["node", "centre"]).filter(pa.array(good, pa.bool_()))
 
     return materialize(right.mapInArrow(checked, "node long, centre long"), "links")
 
@@ -287,18 +295,30 @@ def forest(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> list[int]:
     return chosen
 
 
-def crossed(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Similar texts (node, centre) of different groups that share a band value; all such texts are compared.
+def cells(linked: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root, block, x, y): texts to compare, those of a bucket in blocks, each two blocks being a cell.
 
-    A band value's texts are dealt to blocks of about BLOCK, and each two blocks, or one with itself, make a cell. Values of
-    two texts are left out, whose one link has been verified.
+    linked: (node, key, main). A bucket holds the texts of one band value, or of all values with one main centre where that
+    makes fewer pairs; buckets whose texts are in one group go. Values of two texts are left out, whose one link has been
+    verified.
     """
-    here = shared.select("node", "key").join(roots.select(again(F.col("node")).alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    wide = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("n > 2 and _a <> _b")
-    rows = here.join(wide.select(again(F.col("key")).alias("key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("p")), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "p").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    rows = rows.select("node", "root", "block", "key", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
-    rows = materialize(rows, "cells")
+    here = linked.join(roots.select(again(F.col("node")).alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    here = materialize(here.select("node", "key", "main", "root"), "rooted")
+    wide = here.groupBy("key", "main").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("n > 2 and _a <> _b").select("key", "main", "n")
+    left = materialize(here.drop("main").join(wide.select(again(F.col("key")).alias("key"), "main", "n"), "key").select("node", "root", "key", "main", "n"), "several")
+    apart = left.select("key", "main", "n").distinct().groupBy("main").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    whole = left.select("main", "node").distinct().groupBy("main").agg(F.count(F.lit(1)).cast("double").alias("all"))
+    best = whole.join(apart, "main").select(again(F.col("main")).alias("main"), (F.col("all") * F.col("all") <= F.col("apart")).alias("at_once"))
+    bucket = F.when(F.col("at_once"), F.xxhash64(F.lit("main"), "main")).otherwise(F.col("key"))
+    rows = materialize(left.join(best, "main").select(bucket.alias("bucket"), "node", "root").distinct(), "buckets")
+    size = rows.groupBy(again(F.col("bucket")).alias("bucket")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("p"))
+    rows = rows.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "p").cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    return rows.select("bucket", "node", "root", "block", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
+
+
+def crossed(linked: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Similar texts (node, centre) of different groups that share a band value; all such texts are compared."""
+    rows = materialize(cells(linked, roots), "cells")
     rows = rows.join(texts.select(again(F.col("node")).alias("node"), "text"), "node")
 
     def compared(table: pa.Table) -> pa.Table:
@@ -324,7 +344,7 @@ def crossed(shared: DataFrame, roots: DataFrame, texts: DataFrame, similarity: f
         good = forest(a, b, group) if len(a) else []
         return pa.table({"node": pa.array(node[a[good]], pa.int64()), "centre": pa.array(node[b[good]], pa.int64())})
 
-    return materialize(rows.groupBy("key", "x", "y").applyInArrow(compared, "node long, centre long"), "crossed")
+    return materialize(rows.groupBy("bucket", "x", "y").applyInArrow(compared, "node long, centre long"), "crossed")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -356,22 +376,33 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(`docs` with _node, one row a text: (node, first_id, root, group_id))."""
-    docs, nodes = with_node(docs, text)
-    banded = materialize(bands(docs.select("_node", text_of(text).alias("_text"))), "bands")
-    rank = F.xxhash64("node", "key")
-    centres = banded.groupBy("key").agg(F.min_by("node", rank).alias("centre"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select(again(F.col("key")).alias("key"), "centre")
-    shared = materialize(banded.join(centres, "key").select("node", "key", "centre").distinct(), "shared")
-    met = shared.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n"))
-    met = materialize(met, "candidates")
-    # Texts that have a candidate link, one row each, picked by text and id so that copies do not meet.
-    ends = met.select("node").union(met.select(F.col("centre").alias("node"))).distinct()
+def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, str, DataFrame]:
+    """(`docs` with a column for the text's hash, its name, one row a text: (node, first_id, root, group_id))."""
+    docs, h, nodes = with_node(docs, text)
+    with intermediates(docs.sparkSession) as keep:
+        found = linked_groups(docs.select(F.col(h).alias("_node"), "doc_id", text_of(text).alias("text")), nodes, similarity)
+        keep.append(found)
+    return docs, h, found
+
+
+def linked_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    banded = materialize(bands(docs.select("_node", "text")), "bands")
+    wide = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b")
+    shared = materialize(banded.join(wide.select(again(F.col("key")).alias("key"), "n"), "key").select("node", "key", "n").distinct(), "shared")
+    # Who shares most band values with others is most like them: the first centre of each of its values.
+    ties = shared.groupBy(again(F.col("node")).alias("node")).agg(F.sum("n").alias("ties"))
+    known = shared.join(ties, "node")
+    centres = known.groupBy(again(F.col("key")).alias("key")).agg(F.max_by("node", F.struct("ties", "node")).alias("main"), F.max_by("node", F.xxhash64("node", "key")).alias("other"))
+    linked = materialize(shared.join(centres, "key").select("node", "key", "main", "other"), "linked")
+    pairs = linked.select("node", F.explode(F.array(F.struct(F.col("main").alias("centre"), F.lit(1).alias("is_main")), F.struct(F.col("other").alias("centre"), F.lit(0).alias("is_main")))).alias("c")).select("node", "c.*")
+    met = materialize(pairs.where("node <> centre").groupBy("node", "centre").agg(F.sum("is_main").alias("n")), "candidates")
+    # Texts that share a band value, one row each, picked by text and id so that copies do not meet.
+    ends = shared.select("node").distinct()
     wanted = materialize(ends.join(nodes.select(again(F.col("node")).alias("node"), "first_id"), "node").select(F.col("node").alias("_node"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("_id")), "wanted")
-    own = docs.select("_node", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), text_of(text).alias("text"))
+    own = docs.select("_node", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "text")
     # One plan at every size: the texts are dealt by key, whether or not the wanted keys would fit a broadcast today.
     texts = materialize(own.join(wanted.hint("merge"), ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"]).select(F.col("_node").alias("node"), "text"), "texts")
-    first = met.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
+    first = met.where("n > 0").groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
     links = verified(first, texts, similarity)
     roots = components(links)
     # What the first round left open: links between texts that are not in one group yet.
@@ -385,24 +416,25 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
             links = links.union(more)
             roots = components(links)
     # Texts that are like each other may both be unlike their centres.
-    more = crossed(shared, roots, texts, similarity)
+    more = crossed(linked, roots, texts, similarity)
     if not more.isEmpty():
         roots = components(links.union(more))
     known = nodes.join(roots.select(again(F.col("node")).alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = known.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    return docs, materialize(known.join(best.select(again(F.col("root")).alias("root"), "group_id"), "root").select("node", "first_id", "root", "group_id"), "groups")
+    return materialize(known.join(best.select(again(F.col("root")).alias("root"), "group_id"), "root").select("node", "first_id", "root", "group_id"), "groups")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, copy_of (smallest doc_id with the same text), group_id (smallest doc_id of the near-duplicate group)."""
-    docs, found = groups(docs.select("doc_id", "text"))
-    return docs.select("doc_id", "_node").join(found.select(again(F.col("node")).alias("_node"), F.col("first_id").alias("copy_of"), "group_id"), "_node").select("doc_id", "copy_of", "group_id")
+    docs, h, found = groups(docs.select("doc_id", "text"))
+    return docs.select("doc_id", h).join(found.select(again(F.col("node")).alias(h), F.col("first_id").alias("copy_of"), "group_id"), h).select("doc_id", "copy_of", "group_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs`, one a group: that with the group's smallest doc_id, and only one if its row is repeated."""
-    noded, found = groups(docs, text)
-    best = found.groupBy("root").agg(F.min_by("node", F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("_node"), F.min("first_id").alias("_f"))
-    best = materialize(best.select("_node", F.coalesce(F.col("_f").cast("string"), F.lit("")).alias("_id")), "kept")
-    rows = noded.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return rows.join(best, ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"]).drop("_node", "_id")
+    noded, h, found = groups(docs, text)
+    i = private(noded, "_id")
+    best = found.groupBy("root").agg(F.min_by("node", F.struct(F.col("first_id").isNull(), "first_id", "node")).alias(h), F.min("first_id").alias("_f"))
+    best = materialize(best.select(h, F.coalesce(F.col("_f").cast("string"), F.lit("")).alias(i)), "kept")
+    rows = noded.withColumn(i, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return rows.join(best, [h, i], "left_semi").dropDuplicates([h, i]).drop(h, i)
