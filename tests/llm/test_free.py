@@ -261,6 +261,33 @@ def test_recall_and_edge_cases(spark):
     assert ann.digest(table.where("vec_id < 3")).count() == 2
 
 
+def test_search_stops_before_all_is_scored():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((100, 48))
+    x = centres[rng.integers(0, 100, 8000)] + 0.3 * rng.standard_normal((8000, 48))
+    squared = np.einsum("nd,nd->n", x, x)
+    longest, gauss = squared.max(), ann.directions(48)
+    lifted = x @ gauss[:-1] + np.sqrt(longest - squared)[:, None] * gauss[-1]
+    at = np.arange(0, 8000, 50)
+    asks = ann.Rows(at, x[at], x[at] @ gauss[:-1] * np.sqrt(longest / squared[at])[:, None])
+    ids, scores, scored = ann.search(ann.Rows(np.arange(8000), x, lifted), asks, 20, longest)
+    true = np.einsum("qd,nd->qn", x[at], x)
+    true[np.arange(len(at)), at] = -np.inf
+    want = np.argsort(-true, axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(ids.tolist(), want.tolist(), strict=True)]) >= 0.9
+    assert scored.mean() < 0.3 * 8000 and (scored >= 20).all()
+
+
+def test_cells_hold_all_rows_and_their_boxes_hold_them():
+    points = np.random.default_rng(1).standard_normal((5000, ann.DIMENSIONS))
+    points[:2000] = points[0]
+    tree = ann.upper_tree(points[::3], 12)
+    cell = tree.cell(points)
+    assert len(np.unique(cell)) == 12 and np.bincount(cell[2000:]).max() < 1000 and len(set(cell[:2000])) == 1
+    assert (ann.upper_tree(points[:50], 4).cell(points[:2000]) == 0).all() and (ann.upper_tree(np.zeros((0, ann.DIMENSIONS)), 1).cell(points) == 0).all()
+    assert ann.chi_square(np.array(ann.quantile(0.9, 6)), 6) == pytest.approx(0.9)
+
+
 def test_chi_square():
     assert ann.chi_square(np.array([0.0, 15.507, 1e9])) == pytest.approx([0, 0.95, 1], abs=1e-4)
 
