@@ -333,7 +333,7 @@ class Weights(NamedTuple):
 
 
 @cache
-def weights(pages: int = PAGES, seed: int = SEED, steps: int = 12, decay: float = 3e-5, least: int = 6) -> Weights:
+def weights(pages: int = PAGES, seed: int = SEED, steps: int = 12, decay: float = 3e-6, least: int = 6) -> Weights:
     """A logistic regression on the runs of text of labelled pages, longer runs counting more, and the log odds of tags.
 
     Features that fewer than `least` pages have are none.

@@ -368,9 +368,40 @@ def test_urls(spark):
 
 
 def test_regression_on_held_out_urls():
-    w, bias = urls.weights()
-    held = urls.labelled(400, seed=99)
-    assert sum((urls.unwanted(h, p, w, bias) >= 0.5) == bad for h, p, bad in held) / 400 >= 0.9
+    rows = urls.labelled()
+    hit = said = bad = 0
+    for k in range(4):  # each quarter is judged by what the others teach, threshold included
+        w, bias = urls.trained([r for i, r in enumerate(rows) if i % 4 != k])
+        for host, path, unwanted in rows[k::4]:
+            blocks = urls.unwanted(host, path, w, bias) > 0.5
+            hit, said, bad = hit + (blocks and unwanted), said + blocks, bad + unwanted
+    assert hit / said >= 0.85 and hit / bad >= 0.4
+    assert len(rows) <= 200 and {len([r for r in rows if r[2] is x]) for x in (True, False)} == {96}
+
+
+def test_own_table_of_urls(spark):
+    table = spark.createDataFrame([(f"http://{'bad' if i % 2 else 'fine'}{i}.example.net/{i}", bool(i % 2)) for i in range(60)] + [(None, True)], "url string, unwanted boolean")
+    rows = spark.createDataFrame([(1, "http://bad99.example.net/a", "mine"), (2, "http://fine99.example.net/a", "mine"), (3, "http://fine.example.net/" + "x" * 300_000, "mine")], "page_id long, url string, _u string")
+    got = urls.judge(rows, table=table).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block", "allow", "allow"] and got[0]["_u"] == "mine"
+
+
+def test_host_path_and_rule_equal_a_plain_version(spark):
+    rng = random.Random(6)
+    made = [None, "", "x", "://", "http://", "a://b://c/d"] + ["".join(rng.choice(["http", "://", "/", "?", "#", "A.example.org", "com", "org", ".", "en/1", "es/", "fr/", "de/", "é", "X.ORG"]) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+
+    def plain(url):
+        if "://" not in (url or ""):
+            return "", "", None
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for _, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        return host, path, max(fits, key=len) if fits else None
+
+    got = urls.digest(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"]) for r in got] == [plain(u) for u in made]
 
 
 # Main text
@@ -420,9 +451,9 @@ def words_of(made, **how):
 
 def test_main_text_held_out(spark):
     rng = random.Random(77)
-    made = [htmltext.made_page(rng) for _ in range(150)]
+    made = [htmltext.made_page(rng) for _ in range(300)]
     exact, precision, recall = words_of(made)
-    assert exact >= 0.75 and precision >= 0.98 and recall >= 0.98
+    assert exact >= 0.75 and precision >= 0.975 and recall >= 0.99
     unscanned, _, _ = words_of(made, scan=lambda scores: (0, len(scores)))
     assert unscanned < exact - 0.02
     rows = spark.createDataFrame([(1, "u", made[0].html, "clash"), (2, None, None, "clash")], "page_id long, url string, html string, main_text string")
