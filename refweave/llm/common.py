@@ -47,8 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def paths_of(df: DataFrame) -> set[str]:
-    """Folders of the files that `df` reads."""
-    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    """Folders of the files that `df` reads, without scheme."""
+    return {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in df.inputFiles()}
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
 
 
 @contextmanager
@@ -56,12 +63,19 @@ def intermediates(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Tables written within the block are deleted at its end, but those that a DataFrame put into the list reads."""
     first, keep = len(_made), []
     yield keep
-    read = {p.split(":", 1)[-1].lstrip("/") for df in keep for p in paths_of(df)}
-    for path in _made[first:]:
-        if path.split(":", 1)[-1].lstrip("/") not in read:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            _made.remove(path)
+    read = set().union(*map(paths_of, keep))
+    remove(spark, [p for p in _made[first:] if p.split(":", 1)[-1].lstrip("/") not in read])
+
+
+def delete(df: DataFrame) -> None:
+    """Delete the tables in the shared folder that `df` reads, which nothing may need any more."""
+    read = paths_of(df)
+    remove(df.sparkSession, [p for p in _made if p.split(":", 1)[-1].lstrip("/") in read])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators have written to the shared folder, once no DataFrame of theirs is needed."""
+    remove(spark, list(_made))
 
 
 def private(df: DataFrame, name: str) -> str:

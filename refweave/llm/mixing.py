@@ -5,7 +5,8 @@ times plus one hash-seeded Bernoulli copy whose probability is the fraction.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; rows that repeat a
 doc_id get the same draw; a null doc_id draws as the empty string; an empty table gives an empty mix; further columns
-pass through `mix` unless they bear the name of a column that it adds, which then replaces them.
+pass through `mix` unless they bear the name of a column that it adds, which then replaces them. Of a very long text only
+its number of words is taken.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, text_of
+from .common import WS, materialize, private, text_of
 
 #: Weights in turn over the sources in code point order, share of all sizes to give out, most repeats (fixed values).
 WEIGHTS = (5, 2, 1)
@@ -31,7 +32,7 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_per
 
     Capped shares are found in one pass: in order of cap / weight, the first k sources are capped, where k is the least
     with level(k) = (budget - their caps) / (weight of the rest) not above the next source's cap / weight. The windows
-    run over one row a source.
+    run over one row a source in one task: sources are named parts of a corpus, not hosts or pages.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     one = Window.partitionBy()
@@ -59,17 +60,19 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 def mix(docs: DataFrame, text: str = "text", seed: str = SEED) -> DataFrame:
     """`docs` with size, source_size, target, copies, taken; rows with copies 0 stay, so that nothing is hidden."""
-    docs = docs.drop("size", "source_size", "target", "copies", "taken", "rate")
+    docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    r, s = private(docs, "_rate"), private(docs, "_source")
     sizes = docs.select(F.col("source").cast("string").alias("source"), n_tokens(text_of(text)).alias("size"))
     # One row a source, written first: Spark broadcasts it only if its file is below the threshold.
-    rates = materialize(source_rates(sizes), "mix-rates").withColumnRenamed("source", "_s")
+    rates = materialize(source_rates(sizes), "mix-rates").withColumnsRenamed({"source": s, "rate": r})
     sized = docs.withColumn("size", n_tokens(text_of(text)))
-    out = sized.join(rates, F.col("source").cast("string").eqNullSafe(F.col("_s")), "left").drop("_s")
-    whole = F.floor("rate")
-    copies = (whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("rate")
+    out = sized.join(rates, F.col("source").cast("string").eqNullSafe(F.col(s)), "left").drop(s)
+    whole = F.floor(r)
+    copies = (whole + (draw(F.col("doc_id"), seed) < F.col(r) - whole).cast("long")).cast("long")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop(r)
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """One row a copy."""
-    return mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("_n")
+    n = private(mixed, "_n")
+    return mixed.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop(n)

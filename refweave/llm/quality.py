@@ -6,7 +6,8 @@ hosts whose shrunk rate is over `max_rate` are rejected, which their documents l
 
 Defined results: a null text has no words and so fails; a null host is a host of its own; repeated rows are judged as
 often as they occur; an empty table gives an empty result; further columns pass through `with_verdict` unless they bear
-the name of a column that it adds, which then replaces them.
+the name of a column that it adds, which then replaces them. Windows of words are told apart by 64-bit hashes. A very long
+text is judged whole, in the time that sorting its windows takes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, materialize, text_of
+from .common import WS, materialize, private, text_of
 
 #: Rules of the base (fixed values): fewest words, most percent of words in repeated windows, words in a window.
 LEAST_WORDS = 10
@@ -78,8 +79,10 @@ def with_counts(df: DataFrame, text: Column) -> DataFrame:
         return F.struct(F.size(ws).cast("long").alias("n_words"), chars.cast("long").alias("word_chars"), repeated_words(ws).cast("long").alias("n_repeat_words"))
 
     symbols = F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))
-    df = df.drop(*COUNTS).withColumn("_w", bound(words_of(text), of)).withColumns({"n_symbols": symbols.cast("long"), "n_dup_lines": duplicate_lines(text)})
-    return df.withColumns({k: F.col("_w")[k] for k in ("n_words", "word_chars", "n_repeat_words")}).drop("_w")
+    df = df.drop(*COUNTS)
+    w = private(df, "_w")
+    df = df.withColumn(w, bound(words_of(text), of)).withColumns({"n_symbols": symbols.cast("long"), "n_dup_lines": duplicate_lines(text)})
+    return df.withColumns({k: F.col(w)[k] for k in ("n_words", "word_chars", "n_repeat_words")}).drop(w)
 
 
 def base_failed() -> Column:
@@ -103,8 +106,9 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
 
 def with_host(df: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
     """`df` with host_ok; the verdicts are broadcast only if their file is below Spark's threshold."""
-    v = materialize(verdicts.select(F.col("host").alias("_h"), "host_ok"), "host-verdicts")
-    return df.join(v, F.col(host).cast("string").eqNullSafe(F.col("_h")), "left").drop("_h")
+    h = private(df, "_h")
+    v = materialize(verdicts.select(F.col("host").alias(h), "host_ok"), "host-verdicts")
+    return df.join(v, F.col(host).cast("string").eqNullSafe(F.col(h)), "left").drop(h)
 
 
 def with_verdict(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:

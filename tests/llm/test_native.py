@@ -147,3 +147,62 @@ def test_host_verdicts(spark):
     assert [r["doc_id"] for r in out if r["source"] == "bad" and r["kept"]] == []
     assert sum(r["kept"] for r in out) == 40
     assert quality.with_verdict(docs(spark, texts, sources).limit(0)).count() == 0 and quality.digest(docs(spark, texts).limit(0)).count() == 0
+
+
+CLASH = ["_rate", "rate", "_source", "_n", "_w", "_h", "_k", "_found", "_more", "_node", "_id", "_g", "row", "base", "rest"]
+
+
+def clashing(spark, texts, sources=None):
+    rows = docs(spark, texts, sources).drop("size", "kept")
+    return rows.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+
+
+def test_clashing_columns_pass_through(spark):
+    from refweave.llm import minhash
+
+    texts = ["some words that stand here for a while, with x@y.zz too and many more of them"] * 2 + [None, "a b c"]
+    rows = clashing(spark, texts, ["a", "a", None, "b"])
+    outs = [mixing.mix(rows), mixing.repeat(mixing.mix(rows)), quality.with_verdict(rows), pii.with_spans(rows), pii.redact(rows), minhash.keep_one(rows)]
+    for out in outs:
+        assert set(rows.columns) <= set(out.columns)
+        for r in out.collect():
+            assert all(r[c] == f"own {c}" for c in CLASH)
+    assert pii.redact(rows).columns == rows.columns
+
+
+def test_very_long_texts(spark):
+    long = "one two x@y.zz " * 40_000
+    rows = docs(spark, [long, None, "𝒳 +1 (017) 555-7713 é" * 3_000])
+    got = {r["doc_id"]: r for r in pii.digest(rows).collect()}
+    assert got[0]["n_email"] == 40_000 and got[1]["spans"] == "" and got[2]["n_phone"] == 3_000
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()}
+    assert clean[0] == long.replace("x@y.zz", "<EMAIL>") and clean[2] == "𝒳 <PHONE> é" * 3_000
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(rows).collect()} == {0: 120_000, 1: 0, 2: 4 * 3000 + 1}  # "é𝒳" is one word
+    assert {r["doc_id"]: r["n_words"] for r in quality.digest(rows).collect()} == {0: 120_000, 1: 0, 2: 4 * 3000 + 1}
+
+
+def test_folds_in_blocks(spark):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 63, 64, 65, 1000, 5000)], "xs array<int>")
+    start = F.struct(F.lit(0).alias("at"), pii.empty("int").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"] + x)).alias("out"))
+    for r in rows.select("xs", pii.fold(F.col("xs"), start, step)["out"].alias("sums")).collect():
+        assert r["sums"] == [sum(r["xs"][: i + 1]) for i in range(len(r["xs"]))]
+
+
+def test_the_more_probable_of_overlapping_candidates_stays(spark):
+    spans = [(0, 0, 5, 1.0), (3, 1, 8, 2.0), (7, 2, 9, 0.5), (9, 0, 12, 0.1), (20, 3, 30, 1.0), (20, 2, 31, 1.0)]
+    rows = spark.createDataFrame([(sorted(spans),), ([],)], "x array<struct<s:int,k:int,e:int,p:double>>")
+    got = [[tuple(y) for y in r[0]] for r in rows.select(pii.settled(F.col("x"))).collect()]
+    assert got == [[(3, 1, 8), (9, 0, 12), (20, 2, 31)], []]
+
+
+def test_real_examples_and_all_spans_by_hand(spark):
+    texts = [f"server {i}.{i}.{i}.{i} and version {i}.400.{i}.{i}.7 of mail: u{i}@x.org, no. 4111 1111 1111 111{i % 10}" for i in range(60)] + [None]
+    real = pii.real_examples(docs(spark, texts))
+    assert {k: sorted(set(y.tolist())) for k, (_, y) in real.items()} == {0: [True], 1: [False, True], 2: [False, True], 3: []}
+    trees = pii.models(docs(spark, texts))
+    for r in pii.with_spans(docs(spark, texts), trees=trees).collect():
+        every = [(x["s"], x["k"], x["e"]) for x in r["all_spans"]]
+        assert set(base(r["text"])) <= set(every) and every == sorted(every)
+        extra = [x for x in every if x not in base(r["text"])]
+        assert all(e <= s2 or e2 <= s for s, _, e in extra for s2, _, e2 in every if (s, e) != (s2, e2))

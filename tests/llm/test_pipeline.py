@@ -34,3 +34,26 @@ def test_pipeline(spark, tmp_path):
     one = sentencepiece.Encoder(sentencepiece.model_bytes())
     assert all(list(r["ids"]) == one.encode([r["text"]])[0].tolist() and r["n_ids"] == len(r["ids"]) for r in got[:40])
     assert [name for name, _ in corpus_pipeline.STAGES][1] == "near_dedup"
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from refweave.llm import common
+
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "en", None, 1), (1, words, "en", None, 1), (None, words + " x", "fr", "s", 2), (4, None, None, "s", None), (5, "", "de", "s", 0), (6, " ".join(f"v{i}" for i in range(9000)), "en", "s", 3), (7, "z" * 300_000 + " " + " ".join(f"q{i}" for i in range(20)), "en", "s", 3)]
+    names = ("kept", "size", "rate", "copies", "_node", "_id", "base_failed", "all_spans", "taken")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in names})
+    table.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    before = len(common._made)
+    got = corpus_pipeline.run(spark, str(tmp_path / "a"))
+    assert set(got.columns) == {*table.columns, "ids", "n_ids"} and len(common._made) == before + 1
+    found = got.collect()
+    assert {r["doc_id"] for r in found} <= {1, 6, 7} and all(r[c] == f"own {c}" for r in found for c in names)
+    assert all(r["text"] == {1: words, 6: rows[5][1], 7: rows[6][1]}[r["doc_id"]] for r in found)
+    docs = spark.read.parquet(str(tmp_path / "a" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns and stage(spark, docs.limit(0), "").count() == 0
+    table.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
