@@ -11,14 +11,24 @@ from ..schemas import Settings
 from ..sources import bibtex, papers
 
 
-def parse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """parsed (one row a paper), bibitems, references, skipped (paper_id, error)."""
+def parse(spark: SparkSession, root: str, shared: str | None = None) -> dict[str, DataFrame]:
+    """parsed (one row a paper), bibitems, references, skipped (paper_id, error).
+
+    Papers without a tex folder give rows, too: those of their refs.bib. shared: a folder for the parsed papers, which are
+    kept in memory otherwise.
+    """
     files = papers.paper_files(spark, root)
-    parsed = papers.parse_papers(files).cache()
-    entries = bibtex.parse_bib(parsed.where("refs_bib is not null").select("paper_id", F.col("refs_bib").alias("content")))
+    parsed = papers.parse_papers(files)
+    if shared is None:
+        parsed = parsed.cache()
+    else:
+        parsed.write.mode("overwrite").parquet(shared)
+        parsed = spark.read.parquet(shared)
+    untold = files.where("path = 'refs.bib' and version is null").join(files.where("version is not null").select("paper_id").distinct(), "paper_id", "left_anti")
+    texts = parsed.where("refs_bib is not null").select("paper_id", F.col("refs_bib").alias("content")).unionByName(untold.select("paper_id", F.col("content").cast("string").alias("content")))
     return {
         "parsed": parsed,
-        "bibitems": papers.postprocess_tokens(papers.bibitem_rows(entries)),
+        "bibitems": papers.postprocess_tokens(papers.bibitem_rows(bibtex.parse_bib(texts))),
         "references": papers.postprocess_tokens(papers.reference_rows(files.where("path = 'references.json'"))),
         "skipped": parsed.where("error is not null").select("paper_id", "error"),
     }

@@ -9,15 +9,22 @@ import hashlib
 import posixpath
 import re
 from collections import deque
+from collections.abc import Iterator
 
-#: Names of main files in order; section levels; environments; abbreviations that end no sentence.
-MAIN = ("main", "paper", "ms", "manuscript", "article", "root")
+from ..functions.text import cleaned_text
+from .bibtex import one_line
+
+#: Names of main files in their order (fixed values).
+MAIN = ("main.tex", "paper.tex", "ms.tex", "manuscript.tex", "article.tex", "root.tex")
+#: Levels of sections, and the prefixes of their elements' ids (fixed values).
 LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
 PREFIX = {1: "sec", 2: "subsec", 3: "subsubsec", 4: "para", 5: "para"}
-MATH = ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "flalign", "alignat")
+#: Environments (fixed values).
+MATH = ("equation", "align", "gather", "multline", "flalign", "alignat", "eqnarray", "displaymath")
 LISTS = ("itemize", "enumerate", "description")
 FLOATS = ("figure", "table")
-SHORT = "e.g. i.e. etc. vs. fig. figs. sec. secs. eq. eqs. dr. mr. ms. prof.".split()
+#: Abbreviations that end no sentence (fixed values).
+SHORT = ["e.g.", "i.e.", "etc.", "vs.", "fig.", "figs.", "sec.", "secs.", "eq.", "eqs.", "dr.", "mr.", "ms.", "prof."]
 
 
 def strip_comments(tex: str) -> str:
@@ -27,8 +34,8 @@ def strip_comments(tex: str) -> str:
 def main_file(files: dict[str, str]) -> str | None:
     """A file at the top with a usual name, else the first (by path) that includes others, else that has a class."""
     for name in MAIN:
-        if f"{name}.tex" in files:
-            return f"{name}.tex"
+        if name in files:
+            return name
     for pattern, reach in ((r"\\(?:input|include|subfile|import)\b", 2000), (r"\\documentclass", None)):
         for path in sorted(files):
             if re.search(pattern, files[path][:reach]):
@@ -76,22 +83,24 @@ def protect_math(text: str, cleaner) -> str:
 
 
 def cleaned(text: str) -> str:
+    """Text of an element: layout and environments go, commands give way to their arguments, mathematics stays."""
+
     def run(t: str) -> str:
-        t = re.sub(r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\])?", " ", t)
+        t = re.sub(r"\\\[[^\]]*\]|\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\])?", " ", t)
         for _ in range(5):
-            t = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])*\{([^{}]*)\}", r"\1", t)
-        t = re.sub(r"\\\\|\\[A-Za-z]+\*?", " ", t)
-        return re.sub(r"[\\{}]", "", t)
+            t = re.sub(r"\\[A-Za-z@]+\*?(?:\[[^\]]*\])*\{([^{}]*)\}", r"\1", t)
+        t = re.sub(r"\\\\|\\[A-Za-z@]+\*?|\\[^A-Za-z@]", " ", t)
+        return re.sub(r"[\\{}]", " ", t)
 
-    return re.sub(r"\s+", " ", protect_math(text, run)).strip()
+    return re.sub(r"\s+", " ", protect_math(cleaned_text(text), run)).strip()
 
 
 def sentences(text: str) -> list[str]:
-    """Split after . ! ? before a capital; initials and usual abbreviations end none."""
+    """Split after . ! ? before a capital; an initial before a capital and usual abbreviations end none."""
     hide = lambda m: m[0].replace(".", "\1")
-    text = re.sub(r"\b[A-Z]\.", hide, text)
-    text = re.sub("|".join(rf"(?<!\w){re.escape(a)}" for a in SHORT), hide, text, flags=re.I)
-    return [s.replace("\1", ".").strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z$\"'(])", text) if s.strip()]
+    text = re.sub(r"\b[A-Z]\.(?=\s+[A-Z])", hide, text)
+    text = re.sub("|".join(map(re.escape, sorted(SHORT, key=len, reverse=True))), hide, text)
+    return [s.replace("\1", ".").strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text) if s.strip()]
 
 
 class Tree:
@@ -129,33 +138,56 @@ class Tree:
         return order | {c: p for p, c in sorted((p, c) for c, p in up.items() if c not in order)}
 
 
-def environment(text: str, names: tuple[str, ...]) -> re.Pattern:
-    return re.compile(rf"(?s)\\begin\{{({'|'.join(names)})(\*?)\}}(?:\[[^\]]*\])?(.*?)\\end\{{\1\2\}}")
-
-
 def add_sentences(tree: Tree, text: str, parent: str) -> None:
     for s in sentences(cleaned(text)):
         tree.add("sent", s, parent)
 
 
+def nested(text: str, names: tuple[str, ...]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, name, body) of the outermost environments of these names, nested ones of the same name within their bodies."""
+    mark = re.compile(rf"\\(begin|end)\{{({'|'.join(names)})(\*?)\}}(?:\[[^\]]*\])?")
+    depth, first = 0, None
+    for m in mark.finditer(text):
+        if first is None:
+            if m[1] == "begin":
+                first, depth = m, 1
+        elif (m[2], m[3]) == (first[2], first[3]):
+            depth += 1 if m[1] == "begin" else -1
+            if not depth:
+                yield first.start(), m.end(), first[2], text[first.end() : m.start()]
+                first = None
+
+
+def top_items(body: str) -> list[str]:
+    """What stands between the \\item commands of a list itself, not of lists within it."""
+    inner = [(a, b) for a, b, _, _ in nested(body, LISTS)]
+    cuts = [m.span() for m in re.finditer(r"\\item\b(?:\s*\[[^\]]*\])?", body) if not any(a <= m.start() < b for a, b in inner)]
+    edges = [0, *(x for cut in cuts for x in cut), len(body)]
+    return [body[a:b].strip() for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def float_text(body: str) -> str:
+    """A figure's or table's caption, or without one its text."""
+    caption = re.search(r"(?s)\\caption(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", body)
+    body = caption[1] if caption else re.sub(r"(?s)\\includegraphics(?:\[.*?\])?\{.*?\}", "", body)
+    return cleaned(re.sub(r"\\label\{[^}]*\}", "", body))
+
+
 def add_body(tree: Tree, text: str, parent: str) -> None:
-    """Lists, then figures, tables and equations, then sentences, in the text's order."""
+    """Lists, figures, tables, equations and sentences, in the text's order; an item is parsed like a body of its own."""
     at = 0
-    for m in environment(text, LISTS + FLOATS + MATH).finditer(text):
-        add_sentences(tree, text[at : m.start()], parent)
-        at = m.end()
-        if m[1] in LISTS:
-            own = tree.add("list", m[1], parent, f"{m[1]}:{cleaned(m[3])}")
-            for item in re.split(r"\\item(?:\[[^\]]*\])?", m[3])[1:]:
-                one = tree.add("item", cleaned(item), own)
-                if environment(item, LISTS).search(item):
-                    add_body(tree, item, one)
-        elif m[1] in FLOATS:
-            caption = re.search(r"(?s)\\caption(?:\[[^\]]*\])?\{((?:[^{}]|\{[^{}]*\})*)\}", m[3])
-            if caption:
-                tree.add("fig", cleaned(caption[1]), parent)
+    for start, end, name, body in nested(text, LISTS + FLOATS + MATH):
+        add_sentences(tree, text[at:start], parent)
+        at = end
+        if name in LISTS:
+            own = tree.add("list", name, parent, f"{name}:{cleaned(body)}")
+            for item in top_items(body):
+                if item:
+                    add_body(tree, item, tree.add("item", cleaned(item), own))
+        elif name in FLOATS:
+            tree.add("fig", float_text(body), parent)
         else:
-            inner = re.sub(r"\\label\{[^}]*\}", "", m[3]).strip()
+            inner = one_line(re.sub(r"\\label\{[^}]*\}|\\nonumber\b", "", body))
             tree.add("eq", rf"\begin{{equation}}{inner}\end{{equation}}", parent)
     add_sentences(tree, text[at:], parent)
 

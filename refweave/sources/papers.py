@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,11 +19,11 @@ PARSED = "paper_id string, hierarchy string, refs_bib string, n_versions int, er
 def paper_files(spark: SparkSession, root: str) -> DataFrame:
     """(paper_id, version, path, content) of {root}/{paper}/tex/{version}/**/*.tex|bib, bad bytes ignored.
 
-    Only Spark opens files, so `root` may be in any store that it reads; version is null for references.json.
+    Only Spark opens files, so `root` may be in any store that it reads; version is null for references.json and refs.bib.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tex,bib,json}").load(root)
-    inner = F.regexp_extract("path", r"/([^/]+)/(?:tex/([^/]+)/(.+\.(?:tex|bib))|(references\.json))$", 0)
-    part = lambda i: F.regexp_extract(inner, r"^/([^/]+)/(?:tex/([^/]+)/(.+)|(references\.json))$", i)
+    inner = F.regexp_extract("path", r"/([^/]+)/(?:tex/([^/]+)/(.+\.(?:tex|bib))|(references\.json|refs\.bib))$", 0)
+    part = lambda i: F.regexp_extract(inner, r"^/([^/]+)/(?:tex/([^/]+)/(.+)|(references\.json|refs\.bib))$", i)
     found = files.where(inner != "").select(part(1).alias("paper_id"), F.nullif(part(2), F.lit("")).alias("version"), F.coalesce(F.nullif(part(3), F.lit("")), part(4)).alias("path"), "content")
     return found
 
@@ -40,21 +41,27 @@ def paper_list(files: DataFrame, start: str | None = None, number: int | None =
 
 
 def parse_one(paper: str, versions: dict[str, dict[str, str]]) -> dict:
-    """A paper's versions in order of their names, one numbering of elements for all."""
+    """A paper's versions in order of their names, one numbering of elements for all.
+
+    A version without a main file stands in the hierarchy as an empty one, and its .bib files do not count.
+    """
     tree = latex.Tree(paper)
-    hierarchy, contents, items = {}, [], []
-    for n, version in enumerate(sorted(versions)):
+    hierarchy: dict[str, dict[str, str]] = {}
+    contents: list[str] = []
+    items: list[tuple[str, str]] = []
+    for n, version in enumerate(sorted(versions), 1):
         files = {p: c for p, c in versions[version].items() if p.endswith(".tex")}
-        contents += [c for p, c in sorted(versions[version].items()) if p.endswith(".bib") and c not in contents]
         main = latex.main_file(files)
         if main is None:
+            hierarchy[str(n)] = {}
             continue
+        contents += [c for p, c in sorted((p, c.strip()) for p, c in versions[version].items() if p.endswith(".bib")) if c not in contents]
         tex = latex.inline_includes(main, files)
         items += list(bibtex.bibitems(tex))
         _, alias = bibtex.canonical(items)
         tree.children = {}
         latex.parse_document(tree, latex.strip_references(bibtex.remap_cites(tex, alias)))
-        hierarchy[str(n + 1)] = tree.parents()
+        hierarchy[str(n)] = tree.parents()
     fields, _ = bibtex.canonical(items)
     return {"hierarchy": json.dumps({"elements": tree.elements, "hierarchy": hierarchy}, ensure_ascii=False), "refs_bib": bibtex.refs_bib(contents, fields), "n_versions": len(hierarchy), "error": None}
 
@@ -84,30 +91,48 @@ def hierarchy_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bibitem_rows(entries: DataFrame) -> DataFrame:
-    """Typed rows of .bib entries of the kept types: title words come from the title, else from the note."""
-    e = bibtex.kept_entries(entries).withColumns({"author_norm": T.normalize_parsed(F.regexp_replace("author", r"(?i)\band\b|,", " / ")), "note_norm": T.normalize_parsed(F.col("note")), "title_norm": T.normalize_parsed(F.col("title"), True)})
-    e = e.withColumn("authors_norm", F.filter(F.transform(F.split("author_norm", "/"), lambda a: F.trim(a)), lambda a: a != ""))
+    """Typed rows of .bib entries of the kept types: title words come from the title, else from the note.
+
+    Of a title, : and / become blanks; of a note's words they are stripped off the ends.
+    """
+    e = bibtex.kept_entries(entries).withColumns({
+        "authors_norm": T.normalize_names("author"), "note_norm": T.normalize_parsed(F.col("note"), True), "_title": T.no_marks(T.normalize_parsed(F.col("title"))),
+    })
     every = T.all_author_tokens(F.col("authors_norm"))
-    has = F.col("title_norm") != ""
-    tokens = F.when(has, T.without(T.filter_title_tokens(F.split("title_norm", r"\s+")), every)).otherwise(T.note_title_tokens(F.col("note_norm"), every))
-    return e.select("paper_id", "ord", "key", "note", "author", "year", "arxiv", "authors_norm", "note_norm", tokens.alias("title_tokens"), T.author_tokens(F.col("authors_norm")).alias("author_tokens"), F.when(has, "title").otherwise("note").alias("tokens_source"))
+    has = F.col("_title") != ""
+    tokens = F.when(has, T.without(T.filter_title_tokens(F.split("_title", " ")), every)).otherwise(T.note_title_tokens(F.col("note_norm"), every))
+    return e.select("paper_id", "ord", "key", "note", "author", "year", "arxiv", "authors_norm", "note_norm", tokens.alias("title_tokens"), plain_author_tokens().alias("author_tokens"), F.when(has, "title").otherwise("note").alias("tokens_source"))
+
+
+def plain_author_tokens() -> Column:
+    """Parts of authors' names of two letters or more."""
+    return F.filter(T.name_parts(F.col("authors_norm")), lambda t: F.length(t) > 1)
 
 
 def reference_rows(raw: DataFrame) -> DataFrame:
     """Typed rows of references.json texts (paper_id, content); bad JSON gives none."""
     items = raw.select("paper_id", F.from_json(F.col("content").cast("string"), RAW_REFERENCES).alias("m")).select("paper_id", F.posexplode("m").alias("ord", "id", "v"))
-    r = items.select("paper_id", "ord", "id", F.coalesce("v.paper_title", F.lit("")).alias("title"), F.coalesce("v.authors", F.array().cast("array<string>")).alias("authors"), T.year_of_date(F.col("v.submission_date")).alias("year"), F.col("id").alias("arxiv"))
-    r = r.withColumns({"_a": T.normalize_parsed(F.array_join("authors", " / ")), "_t": T.normalize_parsed(F.col("title"), True)})
-    r = r.withColumn("authors_norm", F.filter(F.transform(F.split("_a", "/"), lambda a: F.trim(a)), lambda a: a != ""))
-    note = T.squeezed(F.concat_ws(" ", F.array_join("authors_norm", " "), "_t"))
-    return r.select("paper_id", "ord", "id", "title", "authors", "authors_norm", T.without(T.filter_title_tokens(F.split("_t", r"\s+")), T.all_author_tokens(F.col("authors_norm"))).alias("title_tokens"), T.author_tokens(F.col("authors_norm")).alias("author_tokens"), "year", "arxiv", note.alias("note_norm"))
+    none = F.array().cast("array<string>")
+    r = items.select("paper_id", "ord", "id", F.coalesce("v.paper_title", F.lit("")).alias("title"), F.coalesce("v.authors", none).alias("authors"), T.year_of_date(F.col("v.submission_date")).alias("year"), F.col("id").alias("arxiv"))
+    r = r.withColumns({"authors_norm": T.normalize_each("authors"), "_t": T.normalize_parsed(F.col("title"))})
+    words = F.filter(F.split(T.no_marks(F.col("_t")), " "), lambda t: t != "")
+    note = T.strip_tokens(F.concat_ws(" ", F.array_join("authors_norm", " "), "_t"))
+    return r.select("paper_id", "ord", "id", "title", "authors", "authors_norm", words.alias("title_tokens"), plain_author_tokens().alias("author_tokens"), "year", "arxiv", note.alias("note_norm"))
 
 
 def postprocess_tokens(rows: DataFrame) -> DataFrame:
     """Author tokens made anew (kept where that leaves none); title tokens without stop words and author names."""
-    clean = rows.withColumn("authors_norm", F.filter(F.transform("authors_norm", lambda a: F.lower(F.trim(a))), lambda a: a != ""))
-    made = T.author_tokens(F.col("authors_norm"))
-    return clean.withColumns({"author_tokens": F.when(F.size(made) > 0, made).otherwise(F.col("author_tokens")), "title_tokens": T.without(T.filter_title_tokens(F.col("title_tokens")), T.all_author_tokens(F.col("authors_norm")))})
+    norm = private_column(rows)
+    clean = rows.withColumn(norm, T.normalize_each("authors_norm"))
+    made = T.author_tokens(F.col(norm))
+    return clean.withColumns({"author_tokens": F.when(F.size(made) > 0, made).otherwise(F.col("author_tokens")), "title_tokens": T.without(T.filter_title_tokens(F.col("title_tokens")), T.all_author_tokens(F.col(norm)))}).drop(norm)
+
+
+def private_column(rows: DataFrame) -> str:
+    name = "_authors"
+    while name in rows.columns:
+        name = f"_{name}"
+    return name
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, ids: DataFrame | None = None) -> DataFrame:
@@ -138,7 +163,13 @@ def read_manual(spark: SparkSession, path: str | None) -> DataFrame:
     none = spark.createDataFrame([], "paper_id string, bib_key string, cand_id string")
     if path is None:
         return none
-    read = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    read = text.select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
     return read.select(F.explode("m").alias("paper_id", "keys")).select("paper_id", F.explode("keys").alias("bib_key", "cand_id"))
 
 
