@@ -9,6 +9,7 @@ from ..functions.features import features, jaccard_if_both, shared_name, with_si
 from ..functions.text import blank, last_names, norm_arxiv, year_int
 from ..schemas import FEATURES, Settings
 from .sampling import cap_per_paper, negatives
+from .shared import shared
 from .tfidf import cosine, weights
 
 
@@ -82,9 +83,16 @@ def sides(bib: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keep(bib, "b", "key"), keep(ref, "r", "id")
 
 
-def with_features(pairs: DataFrame, bib: DataFrame, ref: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
+def with_features(pairs: DataFrame, bib: DataFrame, ref: DataFrame, names: tuple[str, ...] = FEATURES, few: bool = False) -> DataFrame:
     """`pairs` (paper_id, bib_key, cand_id, ...) with features: by key, so that entries with equal keys multiply; the
-    last reference of an id counts, and pairs without one go."""
+    last reference of an id counts, and pairs without one go.
+
+    few: the pairs are chosen ones; they are written first, and only entries and references among them get their sides.
+    """
+    if few:
+        pairs = shared(pairs, "pairs")
+        bib = bib.join(pairs.select("paper_id", F.col("bib_key").alias("key")), ["paper_id", "key"], "left_semi")
+        ref = ref.join(pairs.select("paper_id", F.col("cand_id").alias("id")), ["paper_id", "id"], "left_semi")
     b, r = sides(bib, last_by_id(ref))
     joined = pairs.join(b.withColumnRenamed("key", "bib_key"), ["paper_id", "bib_key"]).join(r.withColumnRenamed("id", "cand_id"), ["paper_id", "cand_id"])
     made = features()
@@ -98,7 +106,7 @@ def matches(bib: DataFrame, ref: DataFrame, settings: Settings) -> DataFrame:
     bib, ref = cap_per_paper(bib, settings.max_bibs, settings.seed, "key"), cap_per_paper(ref, settings.max_refs, settings.seed, "id")
     pairs = score_pairs(bib, ref, settings.scope, fitted).where("bib_key <> '' and cand_id <> ''")
     chosen = negatives(label(pairs, settings.threshold), settings.neg_per_bib, settings.negatives, settings.seed)
-    return with_features(chosen.select("paper_id", "bib_key", "cand_id", "score", "label"), bib, ref)
+    return with_features(chosen.select("paper_id", "bib_key", "cand_id", "score", "label"), bib, ref, few=True)
 
 
 def manual_positives(manual: DataFrame, bib: DataFrame, ref: DataFrame) -> DataFrame:
@@ -125,21 +133,19 @@ def greedy_assignment(pairs: DataFrame, threshold: float) -> DataFrame:
     """One-to-one pairs: the best remaining pair of a paper again and again, by score, entry order, reference order.
 
     A pair that is the best of both its ends is taken in each round, all papers at once; under a strict order this gives
-    the walk's result. Rounds end when no pair is left.
+    the walk's result, and no paper's pairs meet in one task. There are as many rounds as the longest chain of pairs has
+    in which each is the better choice of the next one's end: a handful as a rule, as scores over the threshold are few an
+    entry. Each round is written, so plans don't grow.
     """
     left = pairs.where((F.col("score") >= threshold) & (blank(F.col("bib_key")) != "") & (blank(F.col("cand_id")) != "")).select("paper_id", "b_ord", "bib_key", "r_ord", "cand_id", "score")
-    done = None
+    left, done = shared(left, "pairs"), None
     while True:
         order = [F.desc("score"), "b_ord", "r_ord"]
         by = lambda end: F.row_number().over(Window.partitionBy("paper_id", end).orderBy(*order)) == 1
         taken = left.withColumns({"_b": by("bib_key"), "_r": by("cand_id")}).where("_b and _r").drop("_b", "_r")
-        taken = kept(taken)
+        taken = shared(taken, "taken")
         if taken.isEmpty():
             return done if done is not None else taken
         done = taken if done is None else done.unionByName(taken)
-        left = kept(left.join(taken.select("paper_id", "bib_key"), ["paper_id", "bib_key"], "left_anti").join(taken.select("paper_id", "cand_id"), ["paper_id", "cand_id"], "left_anti").select(*taken.columns))
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut: a reliable checkpoint where the cluster names a folder for it, else as it is."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+        left = left.join(taken.select("paper_id", "bib_key"), ["paper_id", "bib_key"], "left_anti").join(taken.select("paper_id", "cand_id"), ["paper_id", "cand_id"], "left_anti")
+        left = shared(left.select(*taken.columns), "left")

@@ -24,9 +24,9 @@ def negatives(pairs: DataFrame, number: int | None, kind: str = "hard", seed: in
     if number is None:
         return pairs
     by = [F.desc("score"), "r_ord", "b_ord"] if kind == "hard" else [draw(seed, "paper_id", "bib_key", "cand_id"), "r_ord", "b_ord"]
-    order = Window.partitionBy("paper_id", "bib_key").orderBy(*by)
-    bad = pairs.where("label = 0").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= number).drop("_n")
-    return pairs.where("label = 1").unionByName(bad)
+    order = Window.partitionBy("paper_id", "bib_key", "label").orderBy(*by)
+    ranked = pairs.where("label in (0, 1)").withColumn("_n", F.row_number().over(order))  # one pass over the scored pairs
+    return ranked.where((F.col("label") == 1) | (F.col("_n") <= number)).drop("_n")
 
 
 def training_sample(rows: DataFrame, size: int, seed: int) -> DataFrame:

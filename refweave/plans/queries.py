@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import matching, model, ranking, sampling, splits, stats, tfidf
+from ..operators.shared import shared
 from ..sources import bibtex, papers
 from . import views
 
@@ -111,11 +112,14 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chosen(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the split tables; the manual map is small and its views are joined by key."""
     bib, ref = both(spark, d)
-    ids = views.manual(spark, d).select("paper_id").distinct()
+    manual = views.manual(spark, d)
+    ids = manual.select("paper_id").distinct()
     auto = lambda x: x.join(ids, "paper_id", "left_anti")
     rows = sampling.negatives(matching.label(matching.score_pairs(auto(bib), auto(ref)), THRESHOLD), NEGATIVES).select("paper_id", "bib_key", "cand_id", "score", "label")
-    return rows.unionByName(matching.manual_positives(views.manual(spark, d), bib, ref))
+    of_manual = lambda x: x.join(ids, "paper_id", "left_semi")
+    return shared(rows.unionByName(matching.manual_positives(manual, of_manual(bib), of_manual(ref))), "chosen")
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +165,7 @@ for _name in SQL_FEATURES:
 @query(SCORES + f"select paper_id, bib_key, cand_id, {', '.join(f'{SQL_FEATURES[n]} as {n}' for n in matching.FEATURES)} from score where label = 1")
 def feat_all(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d).where("label = 1").select("paper_id", "bib_key", "cand_id")
-    return matching.with_features(rows, *both(spark, d))
+    return matching.with_features(rows, *both(spark, d), few=True)
 
 
 @query(TFIDF + "select paper_id, side, ord, term, round(weight, 8) as weight from weights")
@@ -222,7 +226,7 @@ rr as (select t.paper_id, t.bib_key, coalesce(1 / n, 0.0) as rr from truth t lef
 
 def ranks(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d).withColumn("ord", F.col("r_ord"))
-    return ranking.reciprocal_ranks(rows, ranking.first_positive(rows), "score")
+    return ranking.first_positive_ranks(rows, "score")
 
 
 @query(RANKS + "select * from rr")
@@ -260,25 +264,26 @@ def rows_per_paper(spark: SparkSession, d: str) -> DataFrame:
     return splits.paper_rows(chosen(spark, d))
 
 
-@query(CHOSEN + "select paper_id, bib_key, max(cand_id) as cand_id from chosen c where label = 1 and score = (select max(score) from chosen e where e.label = 1 and e.paper_id = c.paper_id and e.bib_key = c.bib_key) group by all")
+@query(CHOSEN + f", c as (select p.*, c.score as s, {SQL_FEATURES['levenshtein']} as lev, {SQL_FEATURES['jaccard']} as jac from chosen c join pairs p using (paper_id, bib_key, cand_id) where c.label = 1) select paper_id, bib_key, cand_id from (select *, row_number() over (partition by paper_id, bib_key order by s desc, lev desc, jac desc, cand_id desc) as n from c) where n = 1")
 def groundtruth_pick(spark: SparkSession, d: str) -> DataFrame:
-    return splits.ground_truth(chosen(spark, d).withColumns({"levenshtein": F.lit(0.0), "jaccard": F.lit(0.0)}))
+    """The best positive of each key; ties in the score are broken by the features."""
+    rows = chosen(spark, d).where("label = 1")
+    return splits.ground_truth(matching.with_features(rows, *both(spark, d), names=("levenshtein", "jaccard"), few=True))
 
 
-@query(VIEWS + ", b as (select paper_id, count(*) as n_bib from bib where ord % 3 = 0 group by all), r as (select paper_id, count(*) as n_ref from ref where ord > 100 group by all) select coalesce(b.paper_id, r.paper_id) as paper_id, coalesce(n_bib, 0) as n_bib, coalesce(n_ref, 0) as n_ref from b full join r on b.paper_id = r.paper_id")
+@query(VIEWS + ", b as (select paper_id, count(*) as n_bib from bib group by all), r as (select paper_id, count(*) as n_ref from ref group by all) select coalesce(b.paper_id, r.paper_id) as paper_id, coalesce(n_bib, 0) as n_bib, coalesce(n_ref, 0) as n_ref from b full join r on b.paper_id = r.paper_id")
 def paper_stats_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    bib, ref = both(spark, d)
-    return stats.paper_counts(bib.where("ord % 3 = 0"), ref.where("ord > 100"))
+    return stats.paper_counts(*both(spark, d))
 
 
-@query(VIEWS + ", b as (select paper_id, count(*) as n from bib where ord % 3 = 0 group by all), r as (select paper_id, count(*) as m from ref where ord > 100 group by all), c as (select coalesce(n, 0) as n, coalesce(m, 0) as m from b full join r on b.paper_id = r.paper_id) select count(*) as n_papers, cast(sum(n) as bigint) as n_bib, cast(sum(m) as bigint) as n_ref, count(*) filter (where n = 0) as no_bib, count(*) filter (where m = 0) as no_ref, count(*) filter (where n > 0 and m > 0) as has_both from c")
+@query(VIEWS + ", b as (select paper_id, count(*) as n from bib group by all), r as (select paper_id, count(*) as m from ref group by all), c as (select coalesce(n, 0) as n, coalesce(m, 0) as m from b full join r on b.paper_id = r.paper_id) select count(*) as n_papers, cast(sum(n) as bigint) as n_bib, cast(sum(m) as bigint) as n_ref, count(*) filter (where n = 0) as no_bib, count(*) filter (where m = 0) as no_ref, count(*) filter (where n > 0 and m > 0) as has_both from c")
 def parsing_summary(spark: SparkSession, d: str) -> DataFrame:
     return stats.parsing_summary(paper_stats_full_outer(spark, d))
 
 
-@query(VIEWS + "select paper_id, count(*) as n_bib from bib where ord % 7 <> 3 group by all order by n_bib desc, paper_id limit 10")
+@query(VIEWS + "select paper_id, count(*) as n_bib from bib group by all order by n_bib desc, paper_id limit 10")
 def top_papers(spark: SparkSession, d: str) -> DataFrame:
-    counts = views.bib(spark, d).where("ord % 7 <> 3").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_bib"))
+    counts = views.bib(spark, d).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_bib"))
     return stats.top_papers(counts, "n_bib", 10)
 
 
@@ -337,10 +342,10 @@ def training_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.training_sample(chosen(spark, d), 2000, 42).select("paper_id", "bib_key", "cand_id", "label")
 
 
-@query(r"select doc_id, try_cast(nullif(regexp_extract(substr(text, 1, 400), '[0-9]{4}'), '') as int) as year, lower(regexp_replace(source || '.' || lang, '[^\p{L}\p{N}_]', '', 'g')) as norm_id, substr(sha1(text), 1, 6) as short_hash, regexp_extract(text, '[0-9]{4}\.[0-9]{4,5}') <> '' as dotted from documents")
+@query(r"select doc_id, try_cast(nullif(regexp_extract(text, '[0-9]{4}'), '') as int) as year, lower(regexp_replace(source || '.' || lang, '[^\p{L}\p{N}_]', '', 'g')) as norm_id, substr(sha1(text), 1, 6) as short_hash, regexp_extract(text, '[0-9]{4}\.[0-9]{4,5}') <> '' as dotted from documents")
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     docs = views.table(spark, d, "documents")
-    return docs.select("doc_id", T.year_int(F.substring("text", 1, 400)).alias("year"), T.norm_arxiv(F.concat_ws(".", "source", "lang")).alias("norm_id"), T.short_hash(F.col("text")).alias("short_hash"), F.col("text").rlike(r"[0-9]{4}\.[0-9]{4,5}").alias("dotted"))
+    return docs.select("doc_id", T.year_int(F.col("text")).alias("year"), T.norm_arxiv(F.concat_ws(".", "source", "lang")).alias("norm_id"), T.short_hash(F.col("text")).alias("short_hash"), F.col("text").rlike(r"[0-9]{4}\.[0-9]{4,5}").alias("dotted"))
 
 
 STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOP)
@@ -362,20 +367,48 @@ def norm_text(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", T.normalize_parsed(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
 
-@query()
+#: The walk, a pair a step: what has been used so far goes along in lists.
+WALK = SCORES.replace("with dd as", "with recursive dd as", 1) + """,
+good as (select paper_id, b_ord, bib_key, r_ord, cand_id, score, row_number() over (partition by paper_id order by score desc, b_ord, r_ord) as n from score where label = 1),
+walk as (select paper_id, 0::bigint as n, []::varchar[] as bs, []::varchar[] as rs, false as taken from (select distinct paper_id from good)
+    union all select walk.paper_id, good.n, case when list_contains(bs, bib_key) or list_contains(rs, cand_id) then bs else list_append(bs, bib_key) end,
+        case when list_contains(bs, bib_key) or list_contains(rs, cand_id) then rs else list_append(rs, cand_id) end, not (list_contains(bs, bib_key) or list_contains(rs, cand_id))
+        from walk join good on good.paper_id = walk.paper_id and good.n = walk.n + 1)
+"""
+
+
+@query(WALK + "select good.paper_id, b_ord, bib_key, r_ord, cand_id, score from walk join good on good.paper_id = walk.paper_id and good.n = walk.n where taken")
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
     return matching.greedy_assignment(matching.score_pairs(*both(spark, d)), THRESHOLD)
 
 
-@query()
+@query(
+    CHOSEN
+    + """, s as (select c.*, partition from chosen c join parts using (paper_id)),
+t as (select paper_id, bib_key, max(cand_id) as truth from s e where label = 1 and score = (select max(score) from s f where f.label = 1 and f.paper_id = e.paper_id and f.bib_key = e.bib_key) group by all),
+l as (select paper_id, bib_key, list(cand_id order by n) as best from (select *, row_number() over (partition by paper_id, bib_key order by score desc, cand_id) as n from s) where n <= 5 group by all),
+tm as (select paper_id, '{' || string_agg('"' || bib_key || '":"' || truth || '"', ',' order by bib_key) || '}' as truths from t group by all),
+lm as (select paper_id, '{' || string_agg('"' || bib_key || '":["' || array_to_string(best, '","') || '"]', ',' order by bib_key) || '}' as bests from l group by all)
+select paper_id, '{"partition":"' || partition || '","groundtruth":' || coalesce(truths, '{}') || ',"prediction":' || bests || '}' as pred from parts join lm using (paper_id) left join tm using (paper_id)"""
+)
 def pred_json(spark: SparkSession, d: str) -> DataFrame:
+    """Ties in the score go to the greater id, as no feature is asked for here; groundtruth_pick asks for them."""
     rows = split(spark, d).withColumns({"levenshtein": F.lit(0.0), "jaccard": F.lit(0.0)})
     truth = splits.ground_truth(rows).withColumnRenamed("cand_id", "truth")
     table = ranking.update_predictions(splits.predictions_file(rows), rows, "score", truth)
     return table.select("paper_id", F.to_json(F.struct("partition", "groundtruth", "prediction")).alias("pred"))
 
 
-@query()
+NORM = "trim(regexp_replace(translate(lower(strip_accents({0})), '!\"#$%&''()*+,-.;<=>?@[\\]^_`{{|}}~', ''), '\\s+', ' ', 'g'))"
+
+
+@query(
+    VIEWS
+    + f""", n as (select paper_id, key, year, arxiv, list_filter(list_transform(authors_norm, lambda a: {NORM.format("a")}), lambda a: a <> '') as authors_norm, {NORM.format("array_to_string(title_tokens, ' ')")} as title from bib),
+x as (select *, flatten(list_transform(authors_norm, lambda a: string_split(a, ' '))) as parts, string_split(title, ' ') as words from n)
+select paper_id, key, year, arxiv, authors_norm, list_filter(words, lambda t: length(t) > 1 and t not in ({STOP}) and not list_contains(parts, t)) as title_tokens,
+    list_filter(parts, lambda t: length(t) > 2) as author_tokens, case when title = '' then 'note' else 'title' end as tokens_source from x"""
+)
 def bib_parse(spark: SparkSession, d: str) -> DataFrame:
     """The bibliography view written as .bib text, a paper each, and parsed again."""
     field = lambda n, v: F.concat(F.lit(f"  {n} = {{"), v, F.lit("}"))
@@ -403,3 +436,84 @@ def rf_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = matching.with_features(rows.select("paper_id", "bib_key", "cand_id", "score", "label", "partition"), bib, ref)
     fitted = model.fit(rows.where("partition = 'train'"), model.Params(trees=20, depth=8))
     return model.predict(fitted, rows.where("partition <> 'train'")).select("paper_id", "bib_key", "cand_id", "label", F.round("proba", 6).alias("proba"), "prediction")
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    side = lambda x, s: x.select("paper_id", F.lit(s).alias("side"), "ord", "text")
+    bib, ref = both(spark, d)
+    return side(bib, "b").unionByName(side(ref, "r"))
+
+
+@query(
+    TFIDF
+    + """, sdf as (select term, count(*) as df from tf group by all), sw as (select paper_id, side, ord, term, tf * (ln((1 + (select count(*) from entries)) / (1 + df)) + 1) as w from tf join sdf using (term))
+select paper_id, side, ord, term, round(w / sqrt(sum(w * w) over (partition by paper_id, side, ord)), 8) as weight from sw"""
+)
+def tfidf_weights_split(spark: SparkSession, d: str) -> DataFrame:
+    """Term weights fitted once over all papers."""
+    return tfidf.weights(entries(spark, d), scope="split").withColumn("weight", F.round("weight", 8))
+
+
+@query(
+    SCORES
+    + f""", parts as (select *, 0.2 * ({SQL_FEATURES["author_overlap"]}) as auth, coalesce(0.1 * (b_y = r_y)::int + 0.05 * (abs(b_y - r_y) <= 1)::int, 0) as yr,
+    0.1 * (({JACCARD.format(a="bk", b="rk")}) >= 0.6)::int as tj, 0.2 * ({SQL_FEATURES["author_lastname_match"]}) as al, b_x <> '' and regexp_replace(b_x, '[^0-9]', '', 'g') = regexp_replace(r_x, '[^0-9]', '', 'g') as exact from scored)
+select paper_id, bib_key, cand_id, case when exact then 'arxiv_exact' else concat_ws('|', case when cosine > 0 then printf('base=%.3f', cosine::double) end, case when auth > 0 then printf('auth=%.3f', auth::double) end,
+    case when yr > 0 then printf('year=%.3f', yr::double) end, case when tj > 0 then printf('title_jacc=%.3f', tj::double) end, case when al > 0 then printf('auth_last=%.3f', al::double) end,
+    case when cosine + auth + yr + tj + al > 1 then 'cap1' end) end as reason from parts"""
+)
+def score_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What each pair's score is made of."""
+    return matching.score_pairs(*both(spark, d)).select("paper_id", "bib_key", "cand_id", "reason")
+
+
+@query(
+    VIEWS
+    + f""", n as (select paper_id, id, title_tokens, authors_norm, array_to_string(title_tokens, ' ') as title, year, flatten(list_transform(authors_norm, lambda a: list_filter(string_split(a, ' '), lambda t: length(t) > 2))) as parts from ref)
+select paper_id, id, concat_ws(' ', nullif(title, ''), nullif(array_to_string(parts, ' '), ''), nullif(array_to_string(authors_norm, ' '), ''), nullif({NORM.format("title")}, ''),
+    nullif({NORM.format("concat_ws(' ', title, array_to_string(authors_norm, ' '))")}, ''), nullif(year, '')) as text from n"""
+)
+def entry_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of references whose terms are weighed, of all their parts."""
+    ref = views.ref(spark, d)
+    return ref.select("paper_id", "id", T.build_text(F.col("title_tokens"), F.col("author_tokens"), F.col("authors_norm"), F.col("title"), F.lit(""), F.col("year")).alias("text"))
+
+
+@query(
+    VIEWS
+    + """, b as (select paper_id, ord, 'd' || (ord // 2) as bib_key, try_cast(nullif(year, '') as int) as y from bib), r as (select paper_id, 'd' || (ord // 2) as cand_id, arg_max(try_cast(nullif(year, '') as int), ord) filter (where true) as y, max(ord) as last from ref group by all),
+l as (select r.paper_id, cand_id, try_cast(nullif(year, '') as int) as y from r join ref on ref.paper_id = r.paper_id and ref.ord = r.last)
+select b.paper_id, bib_key, cand_id, cast(coalesce(b.y = l.y, false) as int) as year_match, coalesce(abs(b.y - l.y), 100) as year_diff from b join l on b.paper_id = l.paper_id and b.bib_key = l.cand_id"""
+)
+def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Two entries a key and two references an id: entries multiply, the last reference counts."""
+    twin = F.concat(F.lit("d"), F.floor(F.col("ord") / 2).cast("string"))
+    bib, ref = views.bib(spark, d).withColumn("key", twin), views.ref(spark, d).withColumn("id", twin)
+    pairs = bib.select("paper_id", F.col("key").alias("bib_key"), F.col("key").alias("cand_id")).distinct()
+    return matching.with_features(pairs, bib, ref, ("year_match", "year_diff"))
+
+
+@query(SCORES + ", e as (select min(score) as lo, max(score) as hi, least(50, count(distinct score)) as bins from score where label = 1), h as (select case when hi = lo then 0 else least(bins - 1, floor((score - lo) / ((hi - lo) / bins))) end as bin, lo, (hi - lo) / bins as width from score, e where label = 1) select cast(bin as int) as bin, round(min(lo + bin * width), 8) as lower, count(*) as n from h group by bin")
+def histogram_by_values(spark: SparkSession, d: str) -> DataFrame:
+    """As many bins as different scores, 50 at most."""
+    return stats.histogram(scored(spark, d).where("label = 1"), F.col("score"), None).withColumn("lower", F.round("lower", 8))
+
+
+@query(RANKS + ", e as (select min(rr) as lo, max(rr) as hi from rr), h as (select case when hi = lo then 0 else least(19, floor((rr - lo) / ((hi - lo) / 20))) end as bin, lo, (hi - lo) / 20 as width from rr, e) select cast(bin as int) as bin, round(min(lo + bin * width), 8) as lower, count(*) as n from h group by bin")
+def rank_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.rank_histogram(ranks(spark, d)).withColumn("lower", F.round("lower", 8))
+
+
+@query(VIEWS + f", g as (select {SQL_FEATURES['year_diff']} as gap from pairs), e as (select min(gap) as lo, max(gap) as hi from g where gap < 100), h as (select case when hi = lo then 0 else least(49, floor((gap - lo) / ((hi - lo) / 50.0))) end as bin, lo, (hi - lo) / 50.0 as width from g, e where gap < 100) select cast(bin as int) as bin, round(min(lo + bin * width)::double, 8) as lower, count(*) as n from h group by bin")
+def year_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps of years without those of missing ones."""
+    rows = matching.with_features(block_pairs(spark, d), *both(spark, d), names=("year_diff",))
+    return stats.histogram(stats.known_gaps(rows), F.col("year_diff")).withColumn("lower", F.round("lower", 8))
+
+
+@query(f"select doc_id, 'graph' || lang || ' of ' || translate(lower(source), '!\"#$%&''()*+,-.;<=>?@[\\]^_`{{|}}~', '') || ' x2 a' || doc_id || ' end: ' || doc_id || '/x' as matched, 'graph' || lang || ' of ' || translate(lower(source), '!\"#$%&''()*+,-.;<=>?@[\\]^_`{{|}}~', '') || ' x2 note a' || doc_id || ' 2cm end: ' || doc_id || '/x' as parsed from documents")
+def latex_norm(spark: SparkSession, d: str) -> DataFrame:
+    """LaTeX written around each document's names, through both normalisers."""
+    tex = F.concat(F.lit("\\textbf{Graph-"), "lang", F.lit("} of {"), F.upper("source"), F.lit("} $x^2$ % note \n\\emph{\\cite{A"), F.col("doc_id").cast("string"), F.lit("}} \\vspace{2cm}\\\\ end: "), F.col("doc_id").cast("string"), F.lit("/x"))
+    docs = views.table(spark, d, "documents").select("doc_id", tex.alias("tex"))
+    return docs.select("doc_id", T.normalize_matched("tex").alias("matched"), T.normalize_parsed(F.col("tex")).alias("parsed"))

@@ -75,3 +75,15 @@ def test_sets_agree_with_python(spark, pairs):
         assert r["n"] == pytest.approx(sim(grams(x), grams(y)) if grams(x) and grams(y) else 0.0)
         digits = lambda z: {w.strip("d") for w in z if any(c.isdigit() for c in w)}
         assert r["d"] == len(digits(x) & digits(y))
+
+
+TEX = [r"\textbf{Graph $a_{\textbf{x}}$} [h] \cite{K84} \vspace{2cm}\\ end", r"a \emph{b \cite{c}} \hline \[ x \textbf{y} \] [.3cm] z", "plain", "", r"\vspace{$gone$} $kept$ \ref{a} Keywords: x", "one\nkeywords: a MSC 2020 Subject Classifications: b", r"\begin{align*}\hfill\end{align*} \hfill \foo[o]{bar}"]
+
+
+def test_cleanup_of_columns_and_strings_agree(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEX)], "i int, t string")
+    for lengths in (True, False):
+        got = [r[0] for r in rows.orderBy("i").select(T.cleanup_formatting(F.col("t"), lengths)).collect()]
+        assert got == [T.cleaned_text(t, lengths) for t in TEX]
+    assert T.cleaned_text(TEX[0]) == r"Graph $a_{\textbf{x}}$  K84  end" and T.cleaned_text(TEX[4]) == " $kept$ a. Keywords: x"
+    assert [r[0] for r in rows.orderBy("i").select(T.normalize_parsed(F.col("t"))).collect()] == [T.parsed_text(t) for t in TEX]

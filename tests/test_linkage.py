@@ -122,3 +122,41 @@ def test_forest_learns(spark):
     fitted = model.fit(df, params)
     assert best > 0.9 and model.mean_reciprocal_rank(model.predict(fitted, df)).first()["mrr"] > 0.9
     assert model.importance(fitted).count() == 7
+
+
+def test_forest_is_saved_and_settings_are_the_published_ones(spark, tmp_path):
+    rows = [(i % 2, float(i % 2), 0.1 * i, 1.0, 0.0, 2000, 2000, 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "label int, levenshtein double, author_overlap double, author_lastname_match double, year_diff double, source_year int, cand_year int, year_match double")
+    fitted = model.fit(df, model.Params(trees=3, depth=3, leaf=1, split=6))
+    model.save(fitted, str(tmp_path / "forest"))
+    again = model.load(str(tmp_path / "forest"))
+    assert [r["proba"] for r in model.predict(again, df).collect()] == [r["proba"] for r in model.predict(fitted, df).collect()]
+    assert len([1 for _ in __import__("itertools").product(*model.GRID.values())]) == 48 and len(model.SPACE) == 6
+    assert model.Params(leaf=1, split=6).least_leaf() == 3 and model.Params().least_leaf() == 5
+    params, _ = model.grid_search(df, df, {"trees": (2,), "depth": (2,), "split": (2, 5), "leaf": (1,), "subset": ("sqrt",), "weights": model.WEIGHTS})
+    assert params.weights in model.WEIGHTS
+
+
+def test_figures_of_all_kinds(spark, sides):
+    bib, ref = sides
+    counts = stats.paper_counts(bib, ref)
+    figures = stats.parsing_figures(counts)
+    assert [r["paper_id"] for r in figures["no_ref"].collect()] == ["p2"] and figures["no_bib"].count() == 0
+    assert {(r["bin"], r["n"]) for r in figures["distribution_bib"].collect()} == {(0, 1), (1, 1)}
+    lines = stats.parsing_report(counts)
+    assert "Total bibitems: 4" in lines and "Example papers missing references: p2" in lines and "  p1: 3" in lines
+    total = spark.range(5)
+    assert {r["category"]: r["n"] for r in stats.processing_summary(total, total.where("id < 2")).collect()} == {"Total": 5, "Processed": 3, "Skipped": 2}
+    rows = spark.createDataFrame([("p", "k", str(i), i % 2, 0.1 * i, 0.2, 0.3, 100 if i == 3 else i, 1) for i in range(6)], "paper_id string, bib_key string, cand_id string, label int, score double, levenshtein double, jaccard double, year_diff int, year_match int")
+    made = stats.matching_figures(rows, rows.withColumn("partition", F.lit("train")))
+    assert made["feature_year_diff"].groupBy().sum("n").first()[0] == 5 and made["correlations"].count() == 25 and made["splits"].first()["n"] == 6
+    ranks = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "rr double")
+    shown = stats.performance_figures(rows.withColumn("prediction", F.col("label")), ranks, ranks)
+    assert {r["bin"] for r in shown["ranks"].collect()} == {0, 10, 19}
+
+
+def test_one_pass_ranks_equal_two(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([("p", f"k{k}", f"r{c}", rng.choice([0.1, 0.5, 0.9]), int(rng.random() < 0.2), c) for k in range(40) for c in range(9)], "paper_id string, bib_key string, cand_id string, score double, label int, ord int")
+    one = {(r["bib_key"], r["rr"]) for r in ranking.first_positive_ranks(rows, "score").collect()}
+    assert one == {(r["bib_key"], r["rr"]) for r in ranking.reciprocal_ranks(rows, ranking.first_positive(rows), "score").collect()}

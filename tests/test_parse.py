@@ -137,3 +137,52 @@ def test_lists_with_equal_beginnings_stay_apart():
     lists = [i for i in tree.elements if "::list_" in i]
     assert len(lists) == 2 and {tree.elements[i] for i in lists} == {"itemize"} and all(len(tree.children[i]) == 1 for i in lists)
     assert len({tree.parents()[i] for i in lists}) == 2
+
+
+def test_bibitems_are_told_apart_by_all_letters():
+    items = [("a", "Иванов, Теория поля 2001"), ("b", "Петров, Алгебра 2001"), ("c", "Иванов, \\emph{Теория} поля, 2001"), ("d", "")]
+    fields, alias = bibtex.canonical(items)
+    assert alias == {"a": "a", "b": "b", "c": "a", "d": "d"} and fields["a"]["author"] == "Иванов" and fields["a"]["authors"] == ["Иванов"]
+    one = bibtex.bibitem_fields(r'A. Smith. "Deep \emph{nets}" \newblock {\em J. X} 12--14, 2020', "k")
+    assert one["author"] == "A. Smith" and one["title"] == "Deep nets" and "newblock" not in one["note"] and one["pages"] == "12--14"
+    assert bibtex.misc_entry("k", {"author": "A", "title": "T", "note": "N", "arxiv": "2001.00001", "year": "2020", "pages": "", "doi": ""}) == "@misc{k,\n  title = {T},\n  author = {A},\n  year = {2020},\n  eprint = {2001.00001},\n  archivePrefix = {arXiv},\n  note = {N}\n}\n"
+
+
+def test_bib_fields_by_hand():
+    assert bibtex.bib_fields('title = {A {B} c}, author="X \\"Y\\" Z" , year=2020\n, odd, note = {n}} rest = {x}') == {"title": "A {B} c", "author": 'X \\"Y\\" Z', "year": "2020", "note": "n"}
+    assert bibtex.bib_fields("a = {never closed") == {"a": "never close"} and bibtex.bib_fields("a = ") == {} and bibtex.bib_fields("}") == {}
+    got = list(bibtex.stripped_entries("junk\n% @x{a}\n@string{s = {x}}\nsee @misc{a, % note\n title={T}}\n@article{b,\n x={}\n}\n"))
+    assert got == ["see @misc{a, \n title={T}}", "@article{b,\n x={}\n}"]
+
+
+def test_versions_items_and_floats():
+    version = {"main.tex": MAIN, "r.bib": BIB}
+    out = papers.parse_one("p", {"v1": {"r.bib": "@misc{lost, note={x}}", "notes.tex": "nothing"}, "v2": version})
+    tree = json.loads(out["hierarchy"])
+    assert tree["hierarchy"]["1"] == {} and tree["hierarchy"]["2"] and "lost" not in out["refs_bib"] and out["n_versions"] == 2
+    t = latex.Tree("p")
+    latex.parse_document(t, r"\begin{document}\section{S}\begin{itemize}\item One here. Two $x$ here. \begin{equation} a \nonumber \end{equation}\item B \begin{itemize}\item Inner\end{itemize}\end{itemize}\begin{figure}\includegraphics[w]{f}Plain \textbf{body}\label{x}\end{figure}\end{document}")
+    texts = {v: t.elements[t.parents()[k]] for k, v in t.elements.items() if k in t.parents()}
+    assert texts["One here."].startswith("One here. Two") and texts["Inner"] in ("itemize", "Inner") and r"\begin{equation}a\end{equation}" in texts and texts["Plain body"] == "S"
+    assert latex.sentences('He wrote "Yes." "No." he said. See $x$. (In all.) A. B. Smith etc. Here') == ['He wrote "Yes." "No." he said.', "See $x$. (In all.) A. B. Smith etc. Here"]
+
+
+def test_papers_without_tex_and_merged_bib(spark, root, tmp_path):
+    import pathlib
+
+    (pathlib.Path(root) / "2001-3").mkdir()
+    (pathlib.Path(root) / "2001-3" / "refs.bib").write_text("@misc{own, title={Own: a/b Title}, author={Ann Lee and De/Fo X}}\n@misc{own, title={Again}}\n")
+    out = linkage.parse(spark, root, str(tmp_path / "parsed"))
+    rows = [r for r in out["bibitems"].collect() if r["paper_id"] == "2001-3"]
+    assert sorted(r["title_tokens"] for r in rows) == [["again"], ["own", "title"]]
+    assert [r["authors_norm"] for r in rows if r["title_tokens"] != ["again"]] == [["ann lee", "de/fo x"]]
+    merged = bibtex.merged_bib(papers.paper_files(spark, root).where("path like '%.bib' and version is not null")).collect()
+    assert [r["paper_id"] for r in merged] == ["2001-1"] and merged[0]["content"].count("@article{k1") == 2 and "@string" not in merged[0]["content"]
+    assert papers.read_manual(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_title_and_note_marks(spark):
+    files = spark.createDataFrame([("p", "@misc{a, author={Ann Lee}, title={Graph/tree: nets}, note={See: here}}\n@misc{b, author={Ann Lee}, note={See: here/ now 1999 end}}")], "paper_id string, content string")
+    rows = {r["key"]: r for r in papers.bibitem_rows(bibtex.parse_bib(files)).collect()}
+    assert rows["a"]["note_norm"] == "see here" and rows["a"]["title_tokens"] == ["graph", "tree", "nets"]
+    assert rows["b"]["tokens_source"] == "note" and rows["b"]["title_tokens"] == ["see", "here", "now"]
