@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,7 +18,14 @@ WS = r"\x20\x09-\x0D"
 #: Bytes of texts that a Python worker deals with at once; a longer text is dealt with by itself, whole.
 RUN_BYTES = 8 << 20
 
-_made: list[str] = []
+_here = threading.local()
+
+
+def made() -> list[str]:
+    """Paths in the shared folder that this thread has asked for and not deleted; other threads' tables are none of its."""
+    if not hasattr(_here, "made"):
+        _here.made = []
+    return _here.made
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,7 +39,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which `intermediates` deletes if it is made within one."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    made().append(path)
     return path
 
 
@@ -55,27 +63,27 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+        made().remove(path)
 
 
 @contextmanager
 def intermediates(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Tables written within the block are deleted at its end, but those that a DataFrame put into the list reads."""
-    first, keep = len(_made), []
+    first, keep = len(made()), []
     yield keep
     read = set().union(*map(paths_of, keep))
-    remove(spark, [p for p in _made[first:] if p.split(":", 1)[-1].lstrip("/") not in read])
+    remove(spark, [p for p in made()[first:] if p.split(":", 1)[-1].lstrip("/") not in read])
 
 
 def delete(df: DataFrame) -> None:
     """Delete the tables in the shared folder that `df` reads, which nothing may need any more."""
     read = paths_of(df)
-    remove(df.sparkSession, [p for p in _made if p.split(":", 1)[-1].lstrip("/") in read])
+    remove(df.sparkSession, [p for p in made() if p.split(":", 1)[-1].lstrip("/") in read])
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all tables that operators have written to the shared folder, once no DataFrame of theirs is needed."""
-    remove(spark, list(_made))
+    """Delete all tables that this thread's operators have written to the shared folder, once no DataFrame of theirs is needed."""
+    remove(spark, list(made()))
 
 
 def private(df: DataFrame, name: str) -> str:

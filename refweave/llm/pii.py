@@ -5,7 +5,7 @@ they may overlap. Boosted trees score each from its form and its context, a thre
 candidates that overlap the more probable one stays. Base spans always stay.
 
 The trees are fitted on the driver on a bounded table: TRAIN_ROWS made examples a kind (`examples`, for forms that the base
-does not know), and REAL_ROWS spans a kind and label from SAMPLE_DOCS of the documents at hand, drawn by a hash of the text:
+does not know), and REAL_ROWS spans a kind and label from about SAMPLE_DOCS of the documents at hand, drawn by a hash of the text:
 base spans are personal data, candidates that cannot be (no address of four bytes, no card number by its checksum) are not.
 Every third row is held out, and the held-out rows calibrate the thresholds.
 
@@ -239,8 +239,14 @@ def impossible(kind: int, t: Column) -> Column:
 
 
 def real_examples(docs: DataFrame, text: str = "text", sample: int = SAMPLE_DOCS, rows: int = REAL_ROWS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By kind, features and labels of at most `rows` spans a label from at most `sample` documents, drawn by hashes."""
-    some = docs.select(text_of(text).alias("t")).where("t <> ''").orderBy(F.xxhash64("t"), "t").limit(sample)
+    """By kind, features and labels of at most `rows` spans a label from about `sample` documents, drawn by hashes.
+
+    A text is drawn if its hash is below the share that the sample has of all documents, so nothing is sorted or moved but
+    the texts drawn, and copies of a text count once.
+    """
+    texts = docs.select(text_of(text).alias("t")).where("t <> ''")
+    n = max(1, docs.count())
+    some = texts.where(F.xxhash64("t") <= min(sample, n) * (2**64 - 1) // n - 2**63).distinct()
     some = some.withColumn("base", base_spans(F.col("t"))).withColumn("rest", blanked(F.col("t"), F.col("base")))
     none = empty("struct<k:int,y:int,x:array<double>>")
 

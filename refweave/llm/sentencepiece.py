@@ -37,8 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Types of pieces in a model's file (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Characters of distinct stretches that are indexed at once.
-INDEXED = 400_000
+#: Characters of distinct stretches that are indexed at once, and bytes of text that are encoded at once.
+INDEXED, ENCODED = 200_000, 4 << 20
 #: Verdicts on pairs of pieces that are kept.
 PAIR_SLOTS = 1 << 20
 #: Stretches over this many characters are relaxed one by one.
@@ -497,7 +497,7 @@ def mapped(df: DataFrame, from_: str, added: list[tuple[str, T.DataType]], make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(from_)
-            for a, b in runs(column):
+            for a, b in runs(column, most=ENCODED):
                 made = make(coder.value, column.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], *made], [*rest, *names])
 

@@ -46,9 +46,9 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     names = ("kept", "size", "rate", "copies", "_node", "_id", "base_failed", "all_spans", "taken")
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in names})
     table.write.parquet(str(tmp_path / "a" / "documents.parquet"))
-    before = len(common._made)
+    before = len(common.made())
     got = corpus_pipeline.run(spark, str(tmp_path / "a"))
-    assert set(got.columns) == {*table.columns, "ids", "n_ids"} and len(common._made) == before + 1
+    assert set(got.columns) == {*table.columns, "ids", "n_ids"} and len(common.made()) == before + 1
     found = got.collect()
     assert {r["doc_id"] for r in found} <= {1, 6, 7} and all(r[c] == f"own {c}" for r in found for c in names)
     assert all(r["text"] == {1: words, 6: rows[5][1], 7: rows[6][1]}[r["doc_id"]] for r in found)
