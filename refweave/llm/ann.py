@@ -293,7 +293,10 @@ class Index:
                             goes = ~goes & (gap < reach[:, None])
                         q, c = np.nonzero(goes)
                         rows = some.take(pa.array(q))
-                        yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in ("vec_id", "dim", "v")), lists(points[q]), rows.column("kth"), pa.array(index.cells[c])], ["vec_id", "dim", "v", "p", "kth", "cell"])
+                        yield pa.RecordBatch.from_arrays(
+                            [*(rows.column(x) for x in ("vec_id", "dim", "v")), lists(points[q]), rows.column("kth"), pa.array(index.cells[c])],
+                            ["vec_id", "dim", "v", "p", "kth", "cell"],
+                        )
 
         return queries.mapInArrow(run, f"vec_id long, dim int, v {kind}, p array<double>, kth double, cell long")
 

@@ -394,11 +394,17 @@ def linked_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     known = shared.join(ties, "node")
     centres = known.groupBy(again(F.col("key")).alias("key")).agg(F.max_by("node", F.struct("ties", "node")).alias("main"), F.max_by("node", F.xxhash64("node", "key")).alias("other"))
     linked = materialize(shared.join(centres, "key").select("node", "key", "main", "other"), "linked")
-    pairs = linked.select("node", F.explode(F.array(F.struct(F.col("main").alias("centre"), F.lit(1).alias("is_main")), F.struct(F.col("other").alias("centre"), F.lit(0).alias("is_main")))).alias("c")).select("node", "c.*")
+    pairs = linked.select(
+        "node",
+        F.explode(F.array(F.struct(F.col("main").alias("centre"), F.lit(1).alias("is_main")), F.struct(F.col("other").alias("centre"), F.lit(0).alias("is_main")))).alias("c"),
+    ).select("node", "c.*")
     met = materialize(pairs.where("node <> centre").groupBy("node", "centre").agg(F.sum("is_main").alias("n")), "candidates")
     # Texts that share a band value, one row each, picked by text and id so that copies do not meet.
     ends = shared.select("node").distinct()
-    wanted = materialize(ends.join(nodes.select(again(F.col("node")).alias("node"), "first_id"), "node").select(F.col("node").alias("_node"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("_id")), "wanted")
+    wanted = materialize(
+        ends.join(nodes.select(again(F.col("node")).alias("node"), "first_id"), "node").select(F.col("node").alias("_node"), F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("_id")),
+        "wanted",
+    )
     own = docs.select("_node", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "text")
     # One plan at every size: the texts are dealt by key, whether or not the wanted keys would fit a broadcast today.
     texts = materialize(own.join(wanted.hint("merge"), ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"]).select(F.col("_node").alias("node"), "text"), "texts")

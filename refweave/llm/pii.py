@@ -176,7 +176,10 @@ def features(kind: int, t: Column, left: Column, right: Column) -> list[Column]:
     """digits, separators, letters, length, Luhn, a cue before, glued to a word, digit groups, a group over 3 digits, brackets."""
     n = lambda p: F.length(t) - F.length(F.regexp_replace(t, p, ""))
     glued = left.rlike("[A-Za-z0-9_]$") | right.rlike("^[A-Za-z0-9_]")
-    return [n("[0-9]"), n("[^A-Za-z0-9]"), n("[A-Za-z]"), F.length(t), luhn(digits_of(t)).cast("int"), F.lower(left).rlike(CUES[kind]).cast("int"), glued.cast("int"), F.regexp_count(t, F.lit("[0-9]+")), t.rlike("[0-9]{4}").cast("int"), t.rlike(r"[\[(]").cast("int")]
+    return [
+        n("[0-9]"), n("[^A-Za-z0-9]"), n("[A-Za-z]"), F.length(t), luhn(digits_of(t)).cast("int"), F.lower(left).rlike(CUES[kind]).cast("int"),
+        glued.cast("int"), F.regexp_count(t, F.lit("[0-9]+")), t.rlike("[0-9]{4}").cast("int"), t.rlike(r"[\[(]").cast("int"),
+    ]
 
 
 def features_py(kind: int, t: str, left: str, right: str) -> list[int]:
@@ -185,7 +188,10 @@ def features_py(kind: int, t: str, left: str, right: str) -> list[int]:
     d = [int(c) for c in t if c.isdigit()][::-1]
     ok = sum(x if i % 2 == 0 else x * 2 % 10 + (x > 4) for i, x in enumerate(d)) % 10 == 0
     glued = bool(re.search("[A-Za-z0-9_]$", left) or re.search("^[A-Za-z0-9_]", right))
-    return [n("[0-9]"), n("[^A-Za-z0-9]"), n("[A-Za-z]"), len(t), int(ok), int(bool(re.search(CUES[kind], left.lower()))), int(glued), n("[0-9]+"), int(bool(re.search("[0-9]{4}", t))), int(bool(re.search(r"[\[(]", t)))]
+    return [
+        n("[0-9]"), n("[^A-Za-z0-9]"), n("[A-Za-z]"), len(t), int(ok), int(bool(re.search(CUES[kind], left.lower()))), int(glued), n("[0-9]+"),
+        int(bool(re.search("[0-9]{4}", t))), int(bool(re.search(r"[\[(]", t))),
+    ]
 
 
 @cache
@@ -213,7 +219,9 @@ def examples(kind: int, rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[np.nd
             left = cue(("card ", "visa no. ", "credit card: ", "pay by ")) if hit else left
             t = num(16) if hit and rng.random() < 0.3 else t
         else:
-            t = cue((f"({num(3)}) {num(3)}-{num(4)}", f"0{num(2)}-{num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}")) if hit else cue((f"{num(3)}.{num(3)}.{num(3)}", f"20{num(1)} {num(4)}-{num(4)}", f"{num(3)} {num(3)} {num(3)}", f"{num(3)}/{num(4)}/{num(3)}"))
+            t = cue((f"({num(3)}) {num(3)}-{num(4)}", f"0{num(2)}-{num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}")) if hit else cue((
+                f"{num(3)}.{num(3)}.{num(3)}", f"20{num(1)} {num(4)}-{num(4)}", f"{num(3)} {num(3)} {num(3)}", f"{num(3)}/{num(4)}/{num(3)}",
+            ))
             left = cue(("tel. ", "phone ", "call ", "fax: ", "mobile ")) if hit and rng.random() < 0.7 else left
         if not hit and rng.random() < 0.2:
             right = word()

@@ -76,7 +76,10 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: i
     block = F.when(again, F.lit("")).otherwise(F.concat(F.lit(HTTP), chunked(F.col("payload"), chunk)))
     header = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
     address = lambda url: F.regexp_replace(url, r"[\x00-\x20]", "%20")
-    refers = F.concat(header("WARC-Profile", F.lit(PROFILE)), header("WARC-Refers-To-Target-URI", address("first_url")), header("WARC-Refers-To-Date", F.lit(DATE)), header("Refers-To-Page-ID", F.col("first_id")))
+    refers = F.concat(
+        header("WARC-Profile", F.lit(PROFILE)), header("WARC-Refers-To-Target-URI", address("first_url")),
+        header("WARC-Refers-To-Date", F.lit(DATE)), header("Refers-To-Page-ID", F.col("first_id")),
+    )
     about = F.concat(
         header("WARC-Target-URI", address("url")), header("Page-ID", F.col("page_id")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.when(again, refers).otherwise(F.lit("")),

@@ -193,6 +193,56 @@ def test_pairs_in_a_family_just_below_the_threshold(spark):
     assert [got[i] for i in range(240)] == wanted
 
 
+def test_no_link_of_a_fiftieth_of_the_documents_is_lost(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    group = {r["doc_id"]: r["group_id"] for r in minhash.digest(table).collect()}
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    size = {i: sum(x.values()) for i, x in sets.items()}
+    links = lost = 0
+    for i in [i for i in texts if i % 50 == 0]:
+        for j in texts:
+            if i != j and (texts[i] == texts[j] or min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and near(sets[i], sets[j])):
+                links, lost = links + 1, lost + (group[i] != group[j])
+    assert links > 0 and lost == 0
+
+
+def test_groups_of_very_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 50_000)}" for _ in range(150_000)]
+    other = list(words)
+    for _ in range(2000):
+        other[rng.randrange(len(other))] = "changed"
+    far = [f"w{rng.randint(0, 50_000)}" for _ in range(150_000)]
+    rows = docs(spark, [" ".join(words), " ".join(other), " ".join(far), "x" * 2_000_000])
+    assert [r["group_id"] for r in minhash.digest(rows).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+
+
+def test_cells_hold_each_two_texts_of_a_band_value_once(spark):
+    rng = random.Random(4)
+    nodes = list(range(300))
+    linked = [(n, k, rng.choice([1, 2])) for k in range(6) for n in rng.sample(nodes, rng.choice([2, 40, 280]))]
+    main = {k: rng.choice([1, 2]) for k in range(6)}
+    linked = [(n, k, main[k]) for n, k, _ in linked]
+    roots = {n: n % 3 for n in nodes if n % 2}
+    got = collections.defaultdict(list)
+    for r in minhash.cells(spark.createDataFrame(linked, "node long, key long, main long"), spark.createDataFrame(list(roots.items()), "node long, root long")).collect():
+        got[r["bucket"], r["x"], r["y"]].append((r["node"], r["block"], r["root"]))
+        assert r["root"] == roots.get(r["node"], r["node"])
+    met = collections.Counter()
+    for (_, x, y), rows in got.items():
+        assert len(rows) <= 4 * minhash.BLOCK
+        for i, (a, p, _) in enumerate(rows):
+            for b, q, _ in rows[:i]:
+                met[min(a, b), max(a, b)] += {p, q} == {x, y}
+    of = collections.defaultdict(set)
+    for n, k, _ in linked:
+        of[k].add(n)
+    for ns in of.values():
+        if len(ns) > 2:
+            assert all(met[a, b] for a in ns for b in ns if a < b)
+
+
 def test_overlaps_count_weights():
     rng = np.random.default_rng(3)
     w = rng.integers(0, 4, (40, 9000)) * (rng.random((40, 9000)) < np.where(np.arange(9000) < 4500, 0.08, 0.6))
