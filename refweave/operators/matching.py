@@ -44,7 +44,10 @@ def score_pairs(bib: DataFrame, ref: DataFrame, scope: str = "paper", fitted_on:
     """
     entry = lambda df, s: df.select("paper_id", F.lit(s).alias("side"), "ord", "text")
     weighed = weights(entry(bib, "b").unionByName(entry(ref, "r")), scope=scope, fitted_on=fitted_on)
-    ready = lambda df, name: df.select("paper_id", "ord", F.col(name).alias("id"), "authors_norm", "title_tokens", year_int(F.col("year")).alias("y"), last_names(F.col("authors_norm")).alias("l"), norm_arxiv(F.col("arxiv")).alias("x"))
+    ready = lambda df, name: df.select(
+        "paper_id", "ord", F.col(name).alias("id"), "authors_norm", "title_tokens", year_int(F.col("year")).alias("y"),
+        last_names(F.col("authors_norm")).alias("l"), norm_arxiv(F.col("arxiv")).alias("x"),
+    )
     pairs = block(ready(bib, "key"), ready(ref, "id")).join(weighed.select("paper_id").distinct(), "paper_id", "left_semi")
     pairs = pairs.join(cosine(weighed), ["paper_id", "b_ord", "r_ord"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     parts = score_parts(F.col("cosine"))
@@ -78,7 +81,10 @@ def first_by(df: DataFrame, key: str) -> DataFrame:
 def sides(bib: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast("array<string>")
     of = lambda df, c, default: F.col(c) if c in df.columns else default
-    col = lambda df, s: with_sides(df, s, of(df, "title", F.lit("")), of(df, "note_norm", F.lit("")), of(df, "note", F.lit("")), of(df, "title_tokens", none), of(df, "authors_norm", none), of(df, "authors", none))
+    col = lambda df, s: with_sides(
+        df, s, of(df, "title", F.lit("")), of(df, "note_norm", F.lit("")), of(df, "note", F.lit("")), of(df, "title_tokens", none),
+        of(df, "authors_norm", none), of(df, "authors", none),
+    )
     keep = lambda df, s, key: col(df, s).select("paper_id", F.col(key), *[c for c in col(df, s).columns if c.startswith(f"{s}_")])
     return keep(bib, "b", "key"), keep(ref, "r", "id")
 

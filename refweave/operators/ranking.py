@@ -55,4 +55,7 @@ def update_predictions(stored: DataFrame, rows: DataFrame, by: str, truth: DataF
     empty = F.create_map().cast("map<string,string>")
     old = F.coalesce("groundtruth", empty)
     added = F.map_filter(F.coalesce("new_truth", empty), lambda k_, _: ~F.map_contains_key(old, k_))
-    return both.select("paper_id", F.coalesce("partition", F.lit("test")).alias("partition"), F.map_concat(old, added).alias("groundtruth"), F.coalesce("new_prediction", "prediction").alias("prediction"))
+    return both.select(
+        "paper_id", F.coalesce("partition", F.lit("test")).alias("partition"), F.map_concat(old, added).alias("groundtruth"),
+        F.coalesce("new_prediction", "prediction").alias("prediction"),
+    )

@@ -19,7 +19,11 @@ def paper_counts(bib: DataFrame, ref: DataFrame) -> DataFrame:
 
 def parsing_summary(counts: DataFrame) -> DataFrame:
     """Papers, totals, papers that lack a side, papers with both."""
-    return counts.agg(F.count(F.lit(1)).alias("n_papers"), F.coalesce(F.sum("n_bib"), F.lit(0)).alias("n_bib"), F.coalesce(F.sum("n_ref"), F.lit(0)).alias("n_ref"), F.count_if(F.col("n_bib") == 0).alias("no_bib"), F.count_if(F.col("n_ref") == 0).alias("no_ref"), F.count_if((F.col("n_bib") > 0) & (F.col("n_ref") > 0)).alias("has_both"))
+    return counts.agg(
+        F.count(F.lit(1)).alias("n_papers"), F.coalesce(F.sum("n_bib"), F.lit(0)).alias("n_bib"),
+        F.coalesce(F.sum("n_ref"), F.lit(0)).alias("n_ref"), F.count_if(F.col("n_bib") == 0).alias("no_bib"),
+        F.count_if(F.col("n_ref") == 0).alias("no_ref"), F.count_if((F.col("n_bib") > 0) & (F.col("n_ref") > 0)).alias("has_both"),
+    )
 
 
 def lacking(counts: DataFrame, side: str) -> DataFrame:
@@ -67,7 +71,8 @@ def rank_histogram(ranks: DataFrame) -> DataFrame:
 
 def processing_summary(total: DataFrame, skipped: DataFrame) -> DataFrame:
     """(category, n): all papers, those processed, those skipped."""
-    n = total.agg(F.count(F.lit(1)).alias("total")).crossJoin(skipped.agg(F.count(F.lit(1)).alias("skipped")))  # one row each
+    every = total.select(F.lit(0).alias("s")).union(skipped.select(F.lit(1).alias("s")))
+    n = every.agg(F.count_if(F.col("s") == 0).alias("total"), F.count_if(F.col("s") == 1).alias("skipped"))
     lines = [("Total", F.col("total")), ("Processed", F.col("total") - F.col("skipped")), ("Skipped", F.col("skipped"))]
     return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), v.alias("n")) for k, v in lines])).alias("x")).select("x.*")
 
@@ -95,7 +100,10 @@ def performance_figures(predicted: DataFrame, ranks: DataFrame, importance: Data
 def parsing_report(counts: DataFrame, top: int = 5) -> list[str]:
     """The lines that a console shows of parsed papers; `top` papers a list at most are collected."""
     s = parsing_summary(counts).first()
-    lines = ["PARSING STATISTICS", f"Total papers seen: {s['n_papers']}", f"Total bibitems: {s['n_bib']:,}", f"Total references: {s['n_ref']:,}", f"Papers with no bibitems: {s['no_bib']}", f"Papers with no references: {s['no_ref']}"]
+    lines = [
+        "PARSING STATISTICS", f"Total papers seen: {s['n_papers']}", f"Total bibitems: {s['n_bib']:,}", f"Total references: {s['n_ref']:,}",
+        f"Papers with no bibitems: {s['no_bib']}", f"Papers with no references: {s['no_ref']}",
+    ]
     for side, name in (("n_bib", "bibitems"), ("n_ref", "references")):
         missing = [r["paper_id"] for r in lacking(counts, side).limit(top).collect()]
         lines += [f"Example papers missing {name}: {', '.join(missing)}"] * bool(missing)

@@ -60,4 +60,7 @@ def train(split: DataFrame, params: model.Params | None = None, trials: int = 0)
     report, confusion = model.evaluate(test)
     truth = splits.ground_truth(part("test")).withColumnRenamed("cand_id", "truth")
     stored = splits.predictions_file(split)
-    return {"model": fitted, "report": report, "confusion": confusion, "mrr": ranking.mrr(ranking.reciprocal_ranks(test, truth, "proba")), "predictions": ranking.update_predictions(stored, test, "proba", truth), "importance": model.importance(fitted)}
+    return {
+        "model": fitted, "report": report, "confusion": confusion, "mrr": ranking.mrr(ranking.reciprocal_ranks(test, truth, "proba")),
+        "predictions": ranking.update_predictions(stored, test, "proba", truth), "importance": model.importance(fitted),
+    }

@@ -30,7 +30,8 @@ manual as (select 'p' || lpad(cast(doc_id // 40 as varchar), 5, '0') as paper_id
     from documents where doc_id < 80 and doc_id % 4 = 1),
 bs as (select *, array_to_string(title_tokens, ' ') as txt, try_cast(nullif(year, '') as int) as yi, list_transform(authors_norm, lambda a: lower(a)) as au from bib),
 rs as (select *, array_to_string(title_tokens, ' ') as txt, try_cast(nullif(year, '') as int) as yi, list_transform(authors_norm, lambda a: lower(a)) as au from ref),
-pairs as (select b.paper_id, b.ord as b_ord, b.key as bib_key, r.ord as r_ord, r.id as cand_id, b.txt as bt, r.txt as rt, b.title_tokens as bk, r.title_tokens as rk, b.au as ba, r.au as ra,
+pairs as (select b.paper_id, b.ord as b_ord, b.key as bib_key, r.ord as r_ord, r.id as cand_id, b.txt as bt, r.txt as rt, b.title_tokens
+    as bk, r.title_tokens as rk, b.au as ba, r.au as ra,
     b.yi as b_y, r.yi as r_y, b.arxiv as b_x, r.id as r_x from bs b join rs r on b.paper_id = r.paper_id)
 """
 LAST = "list_transform({}, lambda a: list_last(string_split_regex(a, '\\s+')))"
@@ -39,7 +40,9 @@ SHARED = "case when len(list_intersect({a}, {b})) > 0 then 1.0::double else 0.0:
 JACCARD = "case when len({a}) + len({b}) = 0 then 0.0 else len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) end"
 SQL_FEATURES = {
     # DuckDB's levenshtein counts bytes, so letters of two bytes become letters of one that no lower-case text has.
-    "levenshtein": "case when bt = '' or rt = '' then 0.0 when bt = rt then 1.0 else 1 - levenshtein(translate(bt, 'éèêçñíóäöüß', 'ABCDEFGHIJK'), translate(rt, 'éèêçñíóäöüß', 'ABCDEFGHIJK')) / greatest(length(bt), length(rt)) end",
+    "levenshtein":
+        "case when bt = '' or rt = '' then 0.0 when bt = rt then 1.0 else 1 - levenshtein(translate(bt, 'éèêçñíóäöüß', 'ABCDEFGHIJK'), "
+        "translate(rt, 'éèêçñíóäöüß', 'ABCDEFGHIJK')) / greatest(length(bt), length(rt)) end",
     "jaccard": JACCARD.format(a="bk", b="rk"),
     "token_overlap": "cast(len(list_intersect(bk, rk)) as int)",
     "token_overlap_ratio": "case when greatest(len(bk), len(rk)) = 0 then 0.0 else len(list_intersect(bk, rk)) / greatest(len(bk), len(rk)) end",
@@ -66,15 +69,18 @@ tf as (select paper_id, side, ord, term, count(*) as tf from entries, unnest(reg
 df as (select paper_id, term, count(*) as df from tf group by all), nn as (select paper_id, count(*) as n from entries group by all),
 w as (select paper_id, side, ord, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from tf join df using (paper_id, term) join nn using (paper_id)),
 weights as (select paper_id, side, ord, term, w / sqrt(sum(w * w) over (partition by paper_id, side, ord)) as weight from w),
-cos as (select b.paper_id, b.ord as b_ord, r.ord as r_ord, sum(b.weight * r.weight) as cosine from weights b join weights r on b.paper_id = r.paper_id and b.term = r.term and b.side = 'b' and r.side = 'r' group by all)
+cos as (select b.paper_id, b.ord as b_ord, r.ord as r_ord, sum(b.weight * r.weight) as cosine from weights b join weights r on
+    b.paper_id = r.paper_id and b.term = r.term and b.side = 'b' and r.side = 'r' group by all)
 """
 )
 SCORES = (
     TFIDF
     + rf""",
-scored as (select p.*, coalesce(cosine, 0) as cosine, case when b_x <> '' and regexp_replace(b_x, '[^0-9]', '', 'g') = regexp_replace(r_x, '[^0-9]', '', 'g') then 1.0 else least(1.0,
+scored as (select p.*, coalesce(cosine, 0) as cosine, case when b_x <> '' and regexp_replace(b_x, '[^0-9]', '', 'g') = regexp_replace(r_x,
+    '[^0-9]', '', 'g') then 1.0 else least(1.0,
     coalesce(cosine, 0) + 0.2 * ({SQL_FEATURES["author_overlap"]}) + coalesce(0.1 * (b_y = r_y)::int + 0.05 * (abs(b_y - r_y) <= 1)::int, 0)
-    + 0.1 * (({JACCARD.format(a="bk", b="rk")}) >= 0.6)::int + 0.2 * ({SQL_FEATURES["author_lastname_match"]})) end as raw from pairs p left join cos using (paper_id, b_ord, r_ord)),
+    + 0.1 * (({JACCARD.format(a="bk", b="rk")}) >= 0.6)::int + 0.2 * ({SQL_FEATURES["author_lastname_match"]})) end as raw from
+    pairs p left join cos using (paper_id, b_ord, r_ord)),
 score as (select *, round(raw, 4) as score, (round(raw, 4) >= {THRESHOLD})::int as label from scored)
 """
 )
@@ -84,10 +90,12 @@ CHOSEN = (
     + f""",
 auto as (select * from score where paper_id not in (select paper_id from manual)),
 hard as (select paper_id, bib_key, cand_id, score, label from auto where label = 1 union all
-    select paper_id, bib_key, cand_id, score, label from (select *, row_number() over (partition by paper_id, bib_key order by score desc, r_ord, b_ord) as n from auto where label = 0) where n <= {NEGATIVES}),
+    select paper_id, bib_key, cand_id, score, label from (select *, row_number() over (partition by paper_id, bib_key order by
+    score desc, r_ord, b_ord) as n from auto where label = 0) where n <= {NEGATIVES}),
 chosen as (select * from hard union all select paper_id, bib_key, cand_id, 1.0, 1 from manual),
 sizes as (select paper_id, count(*) as n_rows, max((paper_id in (select paper_id from manual))::int) as is_manual from chosen group by all),
-parts as (select paper_id, case row_number() over (partition by is_manual order by n_rows desc, paper_id) when 1 then 'test' when 2 then 'val' else 'train' end as partition from sizes)
+parts as (select paper_id, case row_number() over (partition by is_manual order by n_rows desc, paper_id) when 1 then 'test'
+    when 2 then 'val' else 'train' end as partition from sizes)
 """
 )
 
@@ -142,7 +150,10 @@ def left_anti_manual(spark: SparkSession, d: str) -> DataFrame:
     return views.bib(spark, d).select("paper_id", "key").join(views.manual(spark, d).select("paper_id").distinct(), "paper_id", "left_anti")
 
 
-@query(VIEWS + "select paper_id, key from bib where paper_id in (select paper_id from manual) or paper_id in (select distinct paper_id from bib where paper_id >= 'p00003' order by 1 limit 4)")
+@query(
+    VIEWS +
+    "select paper_id, key from bib where paper_id in (select paper_id from manual) or paper_id in (select distinct paper_id from "
+    "bib where paper_id >= 'p00003' order by 1 limit 4)")
 def target_semi(spark: SparkSession, d: str) -> DataFrame:
     bib = views.bib(spark, d).select("paper_id", "key")
     return matching.of_papers(bib, matching.target_papers(views.manual(spark, d), bib, "p00003", 4))
@@ -199,7 +210,10 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return sampling.negatives(auto, NEGATIVES).select("paper_id", "bib_key", "cand_id", "score", "label")
 
 
-@query(SCORES + f"select paper_id, bib_key, cand_id from (select *, row_number() over (partition by paper_id, bib_key order by md5('{SEED}:' || paper_id || ':' || bib_key || ':' || cand_id), r_ord, b_ord) as n from score where label = 0) where n <= 3")
+@query(
+    SCORES +
+    f"select paper_id, bib_key, cand_id from (select *, row_number() over (partition by paper_id, bib_key order by md5('{SEED}:' "
+    f"|| paper_id || ':' || bib_key || ':' || cand_id), r_ord, b_ord) as n from score where label = 0) where n <= 3")
 def random_negatives(spark: SparkSession, d: str) -> DataFrame:
     return sampling.negatives(scored(spark, d).where("label = 0"), 3, "random", SEED).select("paper_id", "bib_key", "cand_id")
 
@@ -209,7 +223,10 @@ def cap_hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.cap_per_paper(views.ref(spark, d).select("paper_id", "ord", "id"), 15, SEED, "id").select("paper_id", "id")
 
 
-@query(SCORES + "select paper_id, bib_key, cand_id, score, cast(n as int) as rank from (select *, row_number() over (partition by paper_id, bib_key order by score desc, cand_id) as n from score) where n <= 5")
+@query(
+    SCORES +
+    "select paper_id, bib_key, cand_id, score, cast(n as int) as rank from (select *, row_number() over (partition by paper_id, "
+    "bib_key order by score desc, cand_id) as n from score) where n <= 5")
 def top5_candidates(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_k(scored(spark, d), "score").select("paper_id", "bib_key", "cand_id", "score", "rank")
 
@@ -219,7 +236,8 @@ RANKS = (
     + """,
 best as (select *, row_number() over (partition by paper_id, bib_key order by score desc, cand_id) as n from score),
 truth as (select paper_id, bib_key, arg_min(cand_id, r_ord) as truth from score where label = 1 group by all),
-rr as (select t.paper_id, t.bib_key, coalesce(1 / n, 0.0) as rr from truth t left join best b on b.paper_id = t.paper_id and b.bib_key = t.bib_key and b.cand_id = t.truth and n <= 5)
+rr as (select t.paper_id, t.bib_key, coalesce(1 / n, 0.0) as rr from truth t left join best b on b.paper_id = t.paper_id and
+    b.bib_key = t.bib_key and b.cand_id = t.truth and n <= 5)
 """
 )
 
@@ -239,7 +257,10 @@ def mrr(spark: SparkSession, d: str) -> DataFrame:
     return ranking.mrr(ranks(spark, d)).withColumn("mrr", F.round("mrr", 8))
 
 
-@query(VIEWS + "select m.paper_id, m.bib_key, m.cand_id, 1.0::double as score, 1 as label from manual m join bib b on m.paper_id = b.paper_id and m.bib_key = b.key join ref r on m.paper_id = r.paper_id and m.cand_id = r.id")
+@query(
+    VIEWS +
+    "select m.paper_id, m.bib_key, m.cand_id, 1.0::double as score, 1 as label from manual m join bib b on m.paper_id = b.paper_id "
+    "and m.bib_key = b.key join ref r on m.paper_id = r.paper_id and m.cand_id = r.id")
 def manual_positives(spark: SparkSession, d: str) -> DataFrame:
     return matching.manual_positives(views.manual(spark, d), *both(spark, d))
 
@@ -249,7 +270,11 @@ def split_map(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_map(chosen(spark, d), views.manual(spark, d))
 
 
-@query(CHOSEN + ", c as (select partition, count(*) as n_rows, count(distinct paper_id) as n_papers from chosen join parts using (paper_id) group by all) select *, cast(floor(sum(n_rows) over () * case partition when 'train' then 0.75 else 0.125 end) as bigint) as target_rows from c")
+@query(
+    CHOSEN +
+    ", c as (select partition, count(*) as n_rows, count(distinct paper_id) as n_papers from chosen join parts using (paper_id) "
+    "group by all) select *, cast(floor(sum(n_rows) over () * case partition when 'train' then 0.75 else 0.125 end) as bigint) "
+    "as target_rows from c")
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(split(spark, d), {"test": 0.125, "val": 0.125})
 
@@ -264,19 +289,32 @@ def rows_per_paper(spark: SparkSession, d: str) -> DataFrame:
     return splits.paper_rows(chosen(spark, d))
 
 
-@query(CHOSEN + f", c as (select p.*, c.score as s, {SQL_FEATURES['levenshtein']} as lev, {SQL_FEATURES['jaccard']} as jac from chosen c join pairs p using (paper_id, bib_key, cand_id) where c.label = 1) select paper_id, bib_key, cand_id from (select *, row_number() over (partition by paper_id, bib_key order by s desc, lev desc, jac desc, cand_id desc) as n from c) where n = 1")
+@query(
+    CHOSEN +
+    f", c as (select p.*, c.score as s, {SQL_FEATURES['levenshtein']} as lev, {SQL_FEATURES['jaccard']} as jac from chosen c join "
+    f"pairs p using (paper_id, bib_key, cand_id) where c.label = 1) select paper_id, bib_key, cand_id from (select *, row_number() "
+    f"over (partition by paper_id, bib_key order by s desc, lev desc, jac desc, cand_id desc) as n from c) where n = 1")
 def groundtruth_pick(spark: SparkSession, d: str) -> DataFrame:
     """The best positive of each key; ties in the score are broken by the features."""
     rows = chosen(spark, d).where("label = 1")
     return splits.ground_truth(matching.with_features(rows, *both(spark, d), names=("levenshtein", "jaccard"), few=True))
 
 
-@query(VIEWS + ", b as (select paper_id, count(*) as n_bib from bib group by all), r as (select paper_id, count(*) as n_ref from ref group by all) select coalesce(b.paper_id, r.paper_id) as paper_id, coalesce(n_bib, 0) as n_bib, coalesce(n_ref, 0) as n_ref from b full join r on b.paper_id = r.paper_id")
+@query(
+    VIEWS +
+    ", b as (select paper_id, count(*) as n_bib from bib group by all), r as (select paper_id, count(*) as n_ref from ref group "
+    "by all) select coalesce(b.paper_id, r.paper_id) as paper_id, coalesce(n_bib, 0) as n_bib, coalesce(n_ref, 0) as n_ref from "
+    "b full join r on b.paper_id = r.paper_id")
 def paper_stats_full_outer(spark: SparkSession, d: str) -> DataFrame:
     return stats.paper_counts(*both(spark, d))
 
 
-@query(VIEWS + ", b as (select paper_id, count(*) as n from bib group by all), r as (select paper_id, count(*) as m from ref group by all), c as (select coalesce(n, 0) as n, coalesce(m, 0) as m from b full join r on b.paper_id = r.paper_id) select count(*) as n_papers, cast(sum(n) as bigint) as n_bib, cast(sum(m) as bigint) as n_ref, count(*) filter (where n = 0) as no_bib, count(*) filter (where m = 0) as no_ref, count(*) filter (where n > 0 and m > 0) as has_both from c")
+@query(
+    VIEWS +
+    ", b as (select paper_id, count(*) as n from bib group by all), r as (select paper_id, count(*) as m from ref group by all), "
+    "c as (select coalesce(n, 0) as n, coalesce(m, 0) as m from b full join r on b.paper_id = r.paper_id) select count(*) as "
+    "n_papers, cast(sum(n) as bigint) as n_bib, cast(sum(m) as bigint) as n_ref, count(*) filter (where n = 0) as no_bib, count(*) "
+    "filter (where m = 0) as no_ref, count(*) filter (where n > 0 and m > 0) as has_both from c")
 def parsing_summary(spark: SparkSession, d: str) -> DataFrame:
     return stats.parsing_summary(paper_stats_full_outer(spark, d))
 
@@ -287,7 +325,10 @@ def top_papers(spark: SparkSession, d: str) -> DataFrame:
     return stats.top_papers(counts, "n_bib", 10)
 
 
-HISTOGRAM = ", e as (select min(score) as lo, max(score) as hi from score), h as (select label, case when hi = lo then 0 else least(49, floor((score - lo) / ((hi - lo) / 50))) end as bin, lo, (hi - lo) / 50 as width from score, e)"
+HISTOGRAM = (
+    ", e as (select min(score) as lo, max(score) as hi from score), h as (select label, case when hi = lo then 0 else least(49, "
+    "floor((score - lo) / ((hi - lo) / 50))) end as bin, lo, (hi - lo) / 50 as width from score, e)"
+)
 
 
 @query(SCORES + HISTOGRAM + " select cast(bin as int) as bin, round(min(lo + bin * width), 8) as lower, count(*) as n from h group by bin")
@@ -300,12 +341,18 @@ def histogram_by_label(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(scored(spark, d), F.col("score"), by="label").withColumn("lower", F.round("lower", 8))
 
 
-@query(SCORES + "select label, round(quantile_cont(score, 0.25), 8) as q1, round(quantile_cont(score, 0.5), 8) as median, round(quantile_cont(score, 0.75), 8) as q3 from score group by label")
+@query(
+    SCORES +
+    "select label, round(quantile_cont(score, 0.25), 8) as q1, round(quantile_cont(score, 0.5), 8) as median, round(quantile_cont(score, "
+    "0.75), 8) as q3 from score group by label")
 def quartiles(spark: SparkSession, d: str) -> DataFrame:
     return stats.quartiles(scored(spark, d), "score", "label").select("label", *[F.round(c, 8).alias(c) for c in ("q1", "median", "q3")])
 
 
-@query(SCORES + ", f as (select score, cosine::double as cosine, abs(b_y - r_y)::double as gap from score order by paper_id, bib_key, cand_id limit 10000) " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from f" for a in ("score", "cosine", "gap") for b in ("score", "cosine", "gap")))
+@query(
+    SCORES +
+    ", f as (select score, cosine::double as cosine, abs(b_y - r_y)::double as gap from score order by paper_id, bib_key, cand_id "
+    "limit 10000) " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from f" for a in ("score", "cosine", "gap") for b in ("score", "cosine", "gap")))
 def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     bib, ref = (x.select("paper_id", F.col(k).alias(n), T.year_int(F.col("year")).alias(y)) for x, k, n, y in zip(both(spark, d), ("key", "id"), ("bib_key", "cand_id"), ("b_y", "r_y"), strict=True))
     rows = scored(spark, d).join(bib, ["paper_id", "bib_key"]).join(ref, ["paper_id", "cand_id"]).withColumn("gap", F.abs(F.col("b_y") - F.col("r_y")).cast("double"))
@@ -326,26 +373,40 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     PREDICTED
-    + """, c as (select k as class, count(*) filter (where label = k and prediction = k) as tp, count(*) filter (where prediction = k) as pp, count(*) filter (where label = k) as support from pr, (values (0), (1)) v(k) group by k),
-s as (select class, case when pp > 0 then tp / pp else 0 end as p, case when support > 0 then tp / support else 0 end as r, support, tp from c), f as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from s), t as (select sum(support) as n, sum(tp) as right_ from f)
+    + """, c as (select k as class, count(*) filter (where label = k and prediction = k) as tp, count(*) filter (where prediction
+    = k) as pp, count(*) filter (where label = k) as support from pr, (values (0), (1)) v(k) group by k),
+s as (select class, case when pp > 0 then tp / pp else 0 end as p, case when support > 0 then tp / support else 0 end as r, support,
+    tp from c), f as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f from s), t as (select sum(support) as n, sum(tp) as right_ from f)
 select cast(class as varchar) as class, round(p, 8) as precision, round(r, 8) as recall, round(f, 8) as f1, support from f
 union all select 'accuracy', round(right_ / n, 8), round(right_ / n, 8), round(right_ / n, 8), cast(n as bigint) from t
 union all select 'macro avg', round(avg(p), 8), round(avg(r), 8), round(avg(f), 8), cast(sum(support) as bigint) from f
-union all select 'weighted avg', round(sum(p * support) / sum(support), 8), round(sum(r * support) / sum(support), 8), round(sum(f * support) / sum(support), 8), cast(sum(support) as bigint) from f"""
+union all select 'weighted avg', round(sum(p * support) / sum(support), 8), round(sum(r * support) / sum(support), 8), round(sum(f
+    * support) / sum(support), 8), cast(sum(support) as bigint) from f"""
 )
 def class_report(spark: SparkSession, d: str) -> DataFrame:
     return stats.class_report(predicted(spark, d)).select("class", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-@query(CHOSEN + f", g as (select count(*) as n from chosen where label = 1) select paper_id, bib_key, cand_id, label from chosen where label = 1 union all select paper_id, bib_key, cand_id, label from (select *, row_number() over (order by md5('42:' || paper_id || ':' || bib_key || ':' || cand_id), paper_id, bib_key, cand_id) as k from chosen where label = 0), g where k <= 2000 - n")
+@query(
+    CHOSEN +
+    f", g as (select count(*) as n from chosen where label = 1) select paper_id, bib_key, cand_id, label from chosen where label "
+    f"= 1 union all select paper_id, bib_key, cand_id, label from (select *, row_number() over (order by md5('42:' || paper_id "
+    f"|| ':' || bib_key || ':' || cand_id), paper_id, bib_key, cand_id) as k from chosen where label = 0), g where k <= 2000 - "
+    f"n")
 def training_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.training_sample(chosen(spark, d), 2000, 42).select("paper_id", "bib_key", "cand_id", "label")
 
 
-@query(r"select doc_id, try_cast(nullif(regexp_extract(text, '[0-9]{4}'), '') as int) as year, lower(regexp_replace(source || '.' || lang, '[^\p{L}\p{N}_]', '', 'g')) as norm_id, substr(sha1(text), 1, 6) as short_hash, regexp_extract(text, '[0-9]{4}\.[0-9]{4,5}') <> '' as dotted from documents")
+@query(
+    r"select doc_id, try_cast(nullif(regexp_extract(text, '[0-9]{4}'), '') as int) as year, lower(regexp_replace(source || '.' "
+    r"|| lang, '[^\p{L}\p{N}_]', '', 'g')) as norm_id, substr(sha1(text), 1, 6) as short_hash, regexp_extract(text, '[0-9]{4}\.[0-9]{4,5}') "
+    r"<> '' as dotted from documents")
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     docs = views.table(spark, d, "documents")
-    return docs.select("doc_id", T.year_int(F.col("text")).alias("year"), T.norm_arxiv(F.concat_ws(".", "source", "lang")).alias("norm_id"), T.short_hash(F.col("text")).alias("short_hash"), F.col("text").rlike(r"[0-9]{4}\.[0-9]{4,5}").alias("dotted"))
+    return docs.select(
+        "doc_id", T.year_int(F.col("text")).alias("year"), T.norm_arxiv(F.concat_ws(".", "source", "lang")).alias("norm_id"),
+        T.short_hash(F.col("text")).alias("short_hash"), F.col("text").rlike(r"[0-9]{4}\.[0-9]{4,5}").alias("dotted"),
+    )
 
 
 STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOP)
@@ -356,20 +417,25 @@ def title_tokens(spark: SparkSession, d: str) -> DataFrame:
     return views.bib(spark, d).select("paper_id", "key", T.filter_title_tokens(F.col("title_tokens")).alias("title_tokens"))
 
 
-@query(r"select p_partkey, list_filter(list_transform(string_split_regex(replace(p_name, ' ', ' and '), ' and '), lambda a: trim(a)), lambda a: a <> '') as authors, list_last(string_split_regex(p_name, '\s+')) as last_name from part")
+@query(
+    r"select p_partkey, list_filter(list_transform(string_split_regex(replace(p_name, ' ', ' and '), ' and '), lambda a: trim(a)), "
+    r"lambda a: a <> '') as authors, list_last(string_split_regex(p_name, '\s+')) as last_name from part")
 def split_authors(spark: SparkSession, d: str) -> DataFrame:
     part = views.table(spark, d, "part")
     return part.select("p_partkey", T.split_authors(F.regexp_replace("p_name", " ", " and ")).alias("authors"), F.get(T.last_names(F.array("p_name")), 0).alias("last_name"))
 
 
-@query(r"select page_id, trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[!-.;-@\[-`{-~]', '', 'g'))), '\s+', ' ', 'g')) as title from pages")
+@query(
+    r"select page_id, trim(regexp_replace(lower(strip_accents(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), "
+    r"'[!-.;-@\[-`{-~]', '', 'g'))), '\s+', ' ', 'g')) as title from pages")
 def norm_text(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", T.normalize_parsed(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
 
 #: The walk, a pair a step: what has been used so far goes along in lists.
 WALK = SCORES.replace("with dd as", "with recursive dd as", 1) + """,
-good as (select paper_id, b_ord, bib_key, r_ord, cand_id, score, row_number() over (partition by paper_id order by score desc, b_ord, r_ord) as n from score where label = 1),
+good as (select paper_id, b_ord, bib_key, r_ord, cand_id, score, row_number() over (partition by paper_id order by score desc,
+    b_ord, r_ord) as n from score where label = 1),
 walk as (select paper_id, 0::bigint as n, []::varchar[] as bs, []::varchar[] as rs, false as taken from (select distinct paper_id from good)
     union all select walk.paper_id, good.n, case when list_contains(bs, bib_key) or list_contains(rs, cand_id) then bs else list_append(bs, bib_key) end,
         case when list_contains(bs, bib_key) or list_contains(rs, cand_id) then rs else list_append(rs, cand_id) end, not (list_contains(bs, bib_key) or list_contains(rs, cand_id))
@@ -385,11 +451,14 @@ def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
 @query(
     CHOSEN
     + """, s as (select c.*, partition from chosen c join parts using (paper_id)),
-t as (select paper_id, bib_key, max(cand_id) as truth from s e where label = 1 and score = (select max(score) from s f where f.label = 1 and f.paper_id = e.paper_id and f.bib_key = e.bib_key) group by all),
-l as (select paper_id, bib_key, list(cand_id order by n) as best from (select *, row_number() over (partition by paper_id, bib_key order by score desc, cand_id) as n from s) where n <= 5 group by all),
+t as (select paper_id, bib_key, max(cand_id) as truth from s e where label = 1 and score = (select max(score) from s f where
+    f.label = 1 and f.paper_id = e.paper_id and f.bib_key = e.bib_key) group by all),
+l as (select paper_id, bib_key, list(cand_id order by n) as best from (select *, row_number() over (partition by paper_id, bib_key
+    order by score desc, cand_id) as n from s) where n <= 5 group by all),
 tm as (select paper_id, '{' || string_agg('"' || bib_key || '":"' || truth || '"', ',' order by bib_key) || '}' as truths from t group by all),
 lm as (select paper_id, '{' || string_agg('"' || bib_key || '":["' || array_to_string(best, '","') || '"]', ',' order by bib_key) || '}' as bests from l group by all)
-select paper_id, '{"partition":"' || partition || '","groundtruth":' || coalesce(truths, '{}') || ',"prediction":' || bests || '}' as pred from parts join lm using (paper_id) left join tm using (paper_id)"""
+select paper_id, '{"partition":"' || partition || '","groundtruth":' || coalesce(truths, '{}') || ',"prediction":' || bests || '}'
+    as pred from parts join lm using (paper_id) left join tm using (paper_id)"""
 )
 def pred_json(spark: SparkSession, d: str) -> DataFrame:
     """Ties in the score go to the greater id, as no feature is asked for here; groundtruth_pick asks for them."""
@@ -404,7 +473,8 @@ NORM = "trim(regexp_replace(translate(lower(strip_accents({0})), '!\"#$%&''()*+,
 
 @query(
     VIEWS
-    + f""", n as (select paper_id, key, year, arxiv, list_filter(list_transform(authors_norm, lambda a: {NORM.format("a")}), lambda a: a <> '') as authors_norm, {NORM.format("array_to_string(title_tokens, ' ')")} as title from bib),
+    + f""", n as (select paper_id, key, year, arxiv, list_filter(list_transform(authors_norm, lambda a: {NORM.format("a")}),
+    lambda a: a <> '') as authors_norm, {NORM.format("array_to_string(title_tokens, ' ')")} as title from bib),
 x as (select *, flatten(list_transform(authors_norm, lambda a: string_split(a, ' '))) as parts, string_split(title, ' ') as words from n)
 select paper_id, key, year, arxiv, authors_norm, list_filter(words, lambda t: length(t) > 1 and t not in ({STOP}) and not list_contains(parts, t)) as title_tokens,
     list_filter(parts, lambda t: length(t) > 2) as author_tokens, case when title = '' then 'note' else 'title' end as tokens_source from x"""
@@ -412,7 +482,11 @@ select paper_id, key, year, arxiv, authors_norm, list_filter(words, lambda t: le
 def bib_parse(spark: SparkSession, d: str) -> DataFrame:
     """The bibliography view written as .bib text, a paper each, and parsed again."""
     field = lambda n, v: F.concat(F.lit(f"  {n} = {{"), v, F.lit("}"))
-    text = F.concat(F.lit("@article{"), "key", F.lit(",\n"), F.concat_ws(",\n", field("title", F.array_join("title_tokens", " ")), field("author", F.array_join("authors_norm", " and ")), field("year", F.col("year")), field("eprint", F.col("arxiv"))), F.lit("\n}\n"))
+    text = F.concat(
+        F.lit("@article{"), "key", F.lit(",\n"),
+        F.concat_ws(",\n", field("title", F.array_join("title_tokens", " ")), field("author", F.array_join("authors_norm", " and ")), field("year", F.col("year")), field("eprint", F.col("arxiv"))),
+        F.lit("\n}\n"),
+    )
     files = views.bib(spark, d).groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(text)), "\n").alias("content"))
     return papers.postprocess_tokens(papers.bibitem_rows(bibtex.parse_bib(files))).select("paper_id", "key", "year", "arxiv", "authors_norm", "title_tokens", "author_tokens", "tokens_source")
 
@@ -420,7 +494,10 @@ def bib_parse(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def tex_tree(spark: SparkSession, d: str) -> DataFrame:
     """The documents of a block as a LaTeX paper of sections, parsed to its elements."""
-    docs = views.table(spark, d, "documents").select(views.paper_id().alias("paper_id"), "doc_id", F.concat(F.lit("\\section{Document "), F.col("doc_id").cast("string"), F.lit("}\n"), F.translate("text", "\\{}$%", "")).alias("t"))
+    docs = views.table(spark, d, "documents").select(
+        views.paper_id().alias("paper_id"), "doc_id",
+        F.concat(F.lit("\\section{Document "), F.col("doc_id").cast("string"), F.lit("}\n"), F.translate("text", "\\{}$%", "")).alias("t"),
+    )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n")
     tex = docs.groupBy("paper_id").agg(F.concat(F.lit("\\documentclass{article}\\begin{document}\n"), body, F.lit("\n\\end{document}")).alias("tex"))
     files = tex.select("paper_id", F.lit("v1").alias("version"), F.lit("main.tex").alias("path"), F.encode("tex", "UTF-8").alias("content"))
@@ -446,7 +523,8 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     TFIDF
-    + """, sdf as (select term, count(*) as df from tf group by all), sw as (select paper_id, side, ord, term, tf * (ln((1 + (select count(*) from entries)) / (1 + df)) + 1) as w from tf join sdf using (term))
+    + """, sdf as (select term, count(*) as df from tf group by all), sw as (select paper_id, side, ord, term, tf * (ln((1 +
+    (select count(*) from entries)) / (1 + df)) + 1) as w from tf join sdf using (term))
 select paper_id, side, ord, term, round(w / sqrt(sum(w * w) over (partition by paper_id, side, ord)), 8) as weight from sw"""
 )
 def tfidf_weights_split(spark: SparkSession, d: str) -> DataFrame:
@@ -457,9 +535,12 @@ def tfidf_weights_split(spark: SparkSession, d: str) -> DataFrame:
 @query(
     SCORES
     + f""", parts as (select *, 0.2 * ({SQL_FEATURES["author_overlap"]}) as auth, coalesce(0.1 * (b_y = r_y)::int + 0.05 * (abs(b_y - r_y) <= 1)::int, 0) as yr,
-    0.1 * (({JACCARD.format(a="bk", b="rk")}) >= 0.6)::int as tj, 0.2 * ({SQL_FEATURES["author_lastname_match"]}) as al, b_x <> '' and regexp_replace(b_x, '[^0-9]', '', 'g') = regexp_replace(r_x, '[^0-9]', '', 'g') as exact from scored)
-select paper_id, bib_key, cand_id, case when exact then 'arxiv_exact' else concat_ws('|', case when cosine > 0 then printf('base=%.3f', cosine::double) end, case when auth > 0 then printf('auth=%.3f', auth::double) end,
-    case when yr > 0 then printf('year=%.3f', yr::double) end, case when tj > 0 then printf('title_jacc=%.3f', tj::double) end, case when al > 0 then printf('auth_last=%.3f', al::double) end,
+    0.1 * (({JACCARD.format(a="bk", b="rk")}) >= 0.6)::int as tj, 0.2 * ({SQL_FEATURES["author_lastname_match"]}) as al, b_x
+    <> '' and regexp_replace(b_x, '[^0-9]', '', 'g') = regexp_replace(r_x, '[^0-9]', '', 'g') as exact from scored)
+select paper_id, bib_key, cand_id, case when exact then 'arxiv_exact' else concat_ws('|', case when cosine > 0 then printf('base=%.3f',
+    cosine::double) end, case when auth > 0 then printf('auth=%.3f', auth::double) end,
+    case when yr > 0 then printf('year=%.3f', yr::double) end, case when tj > 0 then printf('title_jacc=%.3f', tj::double) end,
+    case when al > 0 then printf('auth_last=%.3f', al::double) end,
     case when cosine + auth + yr + tj + al > 1 then 'cap1' end) end as reason from parts"""
 )
 def score_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -469,8 +550,10 @@ def score_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     VIEWS
-    + f""", n as (select paper_id, id, title_tokens, authors_norm, array_to_string(title_tokens, ' ') as title, year, flatten(list_transform(authors_norm, lambda a: list_filter(string_split(a, ' '), lambda t: length(t) > 2))) as parts from ref)
-select paper_id, id, concat_ws(' ', nullif(title, ''), nullif(array_to_string(parts, ' '), ''), nullif(array_to_string(authors_norm, ' '), ''), nullif({NORM.format("title")}, ''),
+    + f""", n as (select paper_id, id, title_tokens, authors_norm, array_to_string(title_tokens, ' ') as title, year, flatten(list_transform(authors_norm,
+    lambda a: list_filter(string_split(a, ' '), lambda t: length(t) > 2))) as parts from ref)
+select paper_id, id, concat_ws(' ', nullif(title, ''), nullif(array_to_string(parts, ' '), ''), nullif(array_to_string(authors_norm,
+    ' '), ''), nullif({NORM.format("title")}, ''),
     nullif({NORM.format("concat_ws(' ', title, array_to_string(authors_norm, ' '))")}, ''), nullif(year, '')) as text from n"""
 )
 def entry_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -481,9 +564,11 @@ def entry_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     VIEWS
-    + """, b as (select paper_id, ord, 'd' || (ord // 2) as bib_key, try_cast(nullif(year, '') as int) as y from bib), r as (select paper_id, 'd' || (ord // 2) as cand_id, arg_max(try_cast(nullif(year, '') as int), ord) filter (where true) as y, max(ord) as last from ref group by all),
+    + """, b as (select paper_id, ord, 'd' || (ord // 2) as bib_key, try_cast(nullif(year, '') as int) as y from bib), r as (select
+    paper_id, 'd' || (ord // 2) as cand_id, arg_max(try_cast(nullif(year, '') as int), ord) filter (where true) as y, max(ord) as last from ref group by all),
 l as (select r.paper_id, cand_id, try_cast(nullif(year, '') as int) as y from r join ref on ref.paper_id = r.paper_id and ref.ord = r.last)
-select b.paper_id, bib_key, cand_id, cast(coalesce(b.y = l.y, false) as int) as year_match, coalesce(abs(b.y - l.y), 100) as year_diff from b join l on b.paper_id = l.paper_id and b.bib_key = l.cand_id"""
+select b.paper_id, bib_key, cand_id, cast(coalesce(b.y = l.y, false) as int) as year_match, coalesce(abs(b.y - l.y), 100) as
+    year_diff from b join l on b.paper_id = l.paper_id and b.bib_key = l.cand_id"""
 )
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     """Two entries a key and two references an id: entries multiply, the last reference counts."""
@@ -493,27 +578,47 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return matching.with_features(pairs, bib, ref, ("year_match", "year_diff"))
 
 
-@query(SCORES + ", e as (select min(score) as lo, max(score) as hi, least(50, count(distinct score)) as bins from score where label = 1), h as (select case when hi = lo then 0 else least(bins - 1, floor((score - lo) / ((hi - lo) / bins))) end as bin, lo, (hi - lo) / bins as width from score, e where label = 1) select cast(bin as int) as bin, round(min(lo + bin * width), 8) as lower, count(*) as n from h group by bin")
+@query(
+    SCORES +
+    ", e as (select min(score) as lo, max(score) as hi, least(50, count(distinct score)) as bins from score where label = 1), "
+    "h as (select case when hi = lo then 0 else least(bins - 1, floor((score - lo) / ((hi - lo) / bins))) end as bin, lo, (hi "
+    "- lo) / bins as width from score, e where label = 1) select cast(bin as int) as bin, round(min(lo + bin * width), 8) as "
+    "lower, count(*) as n from h group by bin")
 def histogram_by_values(spark: SparkSession, d: str) -> DataFrame:
     """As many bins as different scores, 50 at most."""
     return stats.histogram(scored(spark, d).where("label = 1"), F.col("score"), None).withColumn("lower", F.round("lower", 8))
 
 
-@query(RANKS + ", e as (select min(rr) as lo, max(rr) as hi from rr), h as (select case when hi = lo then 0 else least(19, floor((rr - lo) / ((hi - lo) / 20))) end as bin, lo, (hi - lo) / 20 as width from rr, e) select cast(bin as int) as bin, round(min(lo + bin * width), 8) as lower, count(*) as n from h group by bin")
+@query(
+    RANKS +
+    ", e as (select min(rr) as lo, max(rr) as hi from rr), h as (select case when hi = lo then 0 else least(19, floor((rr - lo) "
+    "/ ((hi - lo) / 20))) end as bin, lo, (hi - lo) / 20 as width from rr, e) select cast(bin as int) as bin, round(min(lo + "
+    "bin * width), 8) as lower, count(*) as n from h group by bin")
 def rank_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.rank_histogram(ranks(spark, d)).withColumn("lower", F.round("lower", 8))
 
 
-@query(VIEWS + f", g as (select {SQL_FEATURES['year_diff']} as gap from pairs), e as (select min(gap) as lo, max(gap) as hi from g where gap < 100), h as (select case when hi = lo then 0 else least(49, floor((gap - lo) / ((hi - lo) / 50.0))) end as bin, lo, (hi - lo) / 50.0 as width from g, e where gap < 100) select cast(bin as int) as bin, round(min(lo + bin * width)::double, 8) as lower, count(*) as n from h group by bin")
+@query(
+    VIEWS +
+    f", g as (select {SQL_FEATURES['year_diff']} as gap from pairs), e as (select min(gap) as lo, max(gap) as hi from g where "
+    f"gap < 100), h as (select case when hi = lo then 0 else least(49, floor((gap - lo) / ((hi - lo) / 50.0))) end as bin, lo, "
+    f"(hi - lo) / 50.0 as width from g, e where gap < 100) select cast(bin as int) as bin, round(min(lo + bin * width)::double, "
+    f"8) as lower, count(*) as n from h group by bin")
 def year_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Gaps of years without those of missing ones."""
     rows = matching.with_features(block_pairs(spark, d), *both(spark, d), names=("year_diff",))
     return stats.histogram(stats.known_gaps(rows), F.col("year_diff")).withColumn("lower", F.round("lower", 8))
 
 
-@query(f"select doc_id, 'graph' || lang || ' of ' || translate(lower(source), '!\"#$%&''()*+,-.;<=>?@[\\]^_`{{|}}~', '') || ' x2 a' || doc_id || ' end: ' || doc_id || '/x' as matched, 'graph' || lang || ' of ' || translate(lower(source), '!\"#$%&''()*+,-.;<=>?@[\\]^_`{{|}}~', '') || ' x2 note a' || doc_id || ' 2cm end: ' || doc_id || '/x' as parsed from documents")
+@query(
+    f"select doc_id, 'graph' || lang || ' of ' || translate(lower(source), '!\"#$%&''()*+,-.;<=>?@[\\]^_`{{|}}~', '') || ' x2 "
+    f"a' || doc_id || ' end: ' || doc_id || '/x' as matched, 'graph' || lang || ' of ' || translate(lower(source), '!\"#$%&''()*+,-.;<=>?@[\\]^_`{{|}}~', "
+    f"'') || ' x2 note a' || doc_id || ' 2cm end: ' || doc_id || '/x' as parsed from documents")
 def latex_norm(spark: SparkSession, d: str) -> DataFrame:
     """LaTeX written around each document's names, through both normalisers."""
-    tex = F.concat(F.lit("\\textbf{Graph-"), "lang", F.lit("} of {"), F.upper("source"), F.lit("} $x^2$ % note \n\\emph{\\cite{A"), F.col("doc_id").cast("string"), F.lit("}} \\vspace{2cm}\\\\ end: "), F.col("doc_id").cast("string"), F.lit("/x"))
+    tex = F.concat(
+        F.lit("\\textbf{Graph-"), "lang", F.lit("} of {"), F.upper("source"), F.lit("} $x^2$ % note \n\\emph{\\cite{A"),
+        F.col("doc_id").cast("string"), F.lit("}} \\vspace{2cm}\\\\ end: "), F.col("doc_id").cast("string"), F.lit("/x"),
+    )
     docs = views.table(spark, d, "documents").select("doc_id", tex.alias("tex"))
     return docs.select("doc_id", T.normalize_matched("tex").alias("matched"), T.normalize_parsed(F.col("tex")).alias("parsed"))

@@ -31,22 +31,34 @@ def names(*columns: str) -> F.Column:
 
 def entry(df: DataFrame) -> DataFrame:
     """What both sides share: author_tokens, and the text whose terms are weighed."""
-    return df.withColumn("author_tokens", author_tokens(F.col("authors_norm"))).withColumn("text", F.concat_ws(" ", F.array_join("title_tokens", " "), F.array_join("authors_norm", " "), F.nullif("year", F.lit(""))))
+    return df.withColumn("author_tokens", author_tokens(F.col("authors_norm"))).withColumn(
+        "text", F.concat_ws(" ", F.array_join("title_tokens", " "), F.array_join("authors_norm", " "), F.nullif("year", F.lit(""))),
+    )
 
 
 def bib(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(F.col("doc_id") % 5 == 0, (F.col("y") + 1).cast("string")).otherwise(F.coalesce(F.col("y").cast("string"), F.lit("")))
     arxiv = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"))).otherwise(F.lit(""))
-    out = documents(spark, sf_dir).select(paper_id().alias("paper_id"), F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), F.slice("words", 1, 8).alias("title_tokens"), names("name").alias("authors_norm"), year.alias("year"), arxiv.alias("arxiv"))
+    out = documents(spark, sf_dir).select(
+        paper_id().alias("paper_id"), F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"),
+        F.slice("words", 1, 8).alias("title_tokens"), names("name").alias("authors_norm"), year.alias("year"), arxiv.alias("arxiv"),
+    )
     return entry(out.withColumn("note_norm", F.array_join("title_tokens", " ")))
 
 
 def ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_ = F.concat(F.lit("2401-"), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
-    out = documents(spark, sf_dir).select(paper_id().alias("paper_id"), F.col("doc_id").cast("int").alias("ord"), id_.alias("id"), id_.alias("arxiv"), F.col("words").alias("title_tokens"), names("name", "next_name").alias("authors_norm"), F.coalesce(F.col("y").cast("string"), F.lit("")).alias("year"))
+    out = documents(spark, sf_dir).select(
+        paper_id().alias("paper_id"), F.col("doc_id").cast("int").alias("ord"), id_.alias("id"), id_.alias("arxiv"),
+        F.col("words").alias("title_tokens"), names("name", "next_name").alias("authors_norm"),
+        F.coalesce(F.col("y").cast("string"), F.lit("")).alias("year"),
+    )
     return entry(out.withColumn("title", F.array_join("title_tokens", " ")))
 
 
 def manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id < 80 and doc_id % 4 = 1")
-    return docs.select(paper_id().alias("paper_id"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("bib_key"), F.concat(F.lit("2401-"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("cand_id"))
+    return docs.select(
+        paper_id().alias("paper_id"), F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("bib_key"),
+        F.concat(F.lit("2401-"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("cand_id"),
+    )

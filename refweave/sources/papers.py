@@ -63,7 +63,10 @@ def parse_one(paper: str, versions: dict[str, dict[str, str]]) -> dict:
         latex.parse_document(tree, latex.strip_references(bibtex.remap_cites(tex, alias)))
         hierarchy[str(n)] = tree.parents()
     fields, _ = bibtex.canonical(items)
-    return {"hierarchy": json.dumps({"elements": tree.elements, "hierarchy": hierarchy}, ensure_ascii=False), "refs_bib": bibtex.refs_bib(contents, fields), "n_versions": len(hierarchy), "error": None}
+    return {
+        "hierarchy": json.dumps({"elements": tree.elements, "hierarchy": hierarchy}, ensure_ascii=False),
+        "refs_bib": bibtex.refs_bib(contents, fields), "n_versions": len(hierarchy), "error": None,
+    }
 
 
 def parse_papers(files: DataFrame) -> DataFrame:
@@ -101,7 +104,10 @@ def bibitem_rows(entries: DataFrame) -> DataFrame:
     every = T.all_author_tokens(F.col("authors_norm"))
     has = F.col("_title") != ""
     tokens = F.when(has, T.without(T.filter_title_tokens(F.split("_title", " ")), every)).otherwise(T.note_title_tokens(F.col("note_norm"), every))
-    return e.select("paper_id", "ord", "key", "note", "author", "year", "arxiv", "authors_norm", "note_norm", tokens.alias("title_tokens"), plain_author_tokens().alias("author_tokens"), F.when(has, "title").otherwise("note").alias("tokens_source"))
+    return e.select(
+        "paper_id", "ord", "key", "note", "author", "year", "arxiv", "authors_norm", "note_norm", tokens.alias("title_tokens"),
+        plain_author_tokens().alias("author_tokens"), F.when(has, "title").otherwise("note").alias("tokens_source"),
+    )
 
 
 def plain_author_tokens() -> Column:
@@ -113,7 +119,10 @@ def reference_rows(raw: DataFrame) -> DataFrame:
     """Typed rows of references.json texts (paper_id, content); bad JSON gives none."""
     items = raw.select("paper_id", F.from_json(F.col("content").cast("string"), RAW_REFERENCES).alias("m")).select("paper_id", F.posexplode("m").alias("ord", "id", "v"))
     none = F.array().cast("array<string>")
-    r = items.select("paper_id", "ord", "id", F.coalesce("v.paper_title", F.lit("")).alias("title"), F.coalesce("v.authors", none).alias("authors"), T.year_of_date(F.col("v.submission_date")).alias("year"), F.col("id").alias("arxiv"))
+    r = items.select(
+        "paper_id", "ord", "id", F.coalesce("v.paper_title", F.lit("")).alias("title"), F.coalesce("v.authors", none).alias("authors"),
+        T.year_of_date(F.col("v.submission_date")).alias("year"), F.col("id").alias("arxiv"),
+    )
     r = r.withColumns({"authors_norm": T.normalize_each("authors"), "_t": T.normalize_parsed(F.col("title"))})
     words = F.filter(F.split(T.no_marks(F.col("_t")), " "), lambda t: t != "")
     note = T.strip_tokens(F.concat_ws(" ", F.array_join("authors_norm", " "), "_t"))
@@ -125,7 +134,10 @@ def postprocess_tokens(rows: DataFrame) -> DataFrame:
     norm = private_column(rows)
     clean = rows.withColumn(norm, T.normalize_each("authors_norm"))
     made = T.author_tokens(F.col(norm))
-    return clean.withColumns({"author_tokens": F.when(F.size(made) > 0, made).otherwise(F.col("author_tokens")), "title_tokens": T.without(T.filter_title_tokens(F.col("title_tokens")), T.all_author_tokens(F.col(norm)))}).drop(norm)
+    return clean.withColumns({
+        "author_tokens": F.when(F.size(made) > 0, made).otherwise(F.col("author_tokens")),
+        "title_tokens": T.without(T.filter_title_tokens(F.col("title_tokens")), T.all_author_tokens(F.col(norm))),
+    }).drop(norm)
 
 
 def private_column(rows: DataFrame) -> str:
