@@ -43,19 +43,30 @@ def main_file(files: dict[str, str]) -> str | None:
     return None
 
 
+def safe_parts(name: str) -> list[str]:
+    """The folders and the file of a path that a paper names, without steps up or to nowhere."""
+    return [p for p in name.strip().strip('{}"').replace("\\", "/").split("/") if p not in ("", ".", "..")]
+
+
+def include_name(name: str) -> str:
+    return "/".join(safe_parts(name)).removesuffix(".tex")
+
+
 def inline_includes(path: str, files: dict[str, str], seen: set[str] | None = None, only: set[str] | None = None) -> str:
-    r"""The file with its includes put in, each file once. \includeonly restricts \include; what is missing is empty."""
+    r"""The file with its includes put in, each file once. \includeonly restricts \include, by path or by the file's name
+    alone; paths count from the file's own folder, else from the top; what is missing is empty."""
     seen = set() if seen is None else seen
     if path in seen or path not in files:
         return ""
     seen.add(path)
     tex = strip_comments(files[path])
-    if only is None and (m := re.search(r"\\includeonly\{([^}]*)\}", tex)):
-        only = {x.strip().removesuffix(".tex") for x in m[1].split(",")}
+    if only is None and (m := re.search(r"(?i)\\includeonly\{([^}]*)\}", tex)):
+        only = {n for x in m[1].split(",") if (n := include_name(x))} or None
+    tex = re.sub(r"(?i)\\includeonly\{[^}]*\}", "", tex)
 
     def put(m: re.Match) -> str:
         name = posixpath.join(m[2].strip(), m[3].strip()) if m[2] else m[3].strip().strip('"')
-        if m[1] == "include" and only is not None and name.removesuffix(".tex") not in only:
+        if m[1] == "include" and only is not None and not {include_name(name), posixpath.basename(include_name(name))} & only:
             return ""
         for base in (posixpath.dirname(path), ""):
             for end in ("", ".tex"):

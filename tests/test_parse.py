@@ -186,3 +186,16 @@ def test_title_and_note_marks(spark):
     rows = {r["key"]: r for r in papers.bibitem_rows(bibtex.parse_bib(files)).collect()}
     assert rows["a"]["note_norm"] == "see here" and rows["a"]["title_tokens"] == ["graph", "tree", "nets"]
     assert rows["b"]["tokens_source"] == "note" and rows["b"]["title_tokens"] == ["see", "here", "now"]
+
+
+def test_includes_by_name_and_safe_paths():
+    files = {"main.tex": r"\includeonly{sec/b}\include{sec/a}\include{sec/b}\include{b}\import{sec/}{c}\input{./sec/../d}", "sec/a.tex": "A", "sec/b.tex": "B", "b.tex": "TOP", "sec/c.tex": "C\\input{e}", "sec/e.tex": "E", "d.tex": "D"}
+    assert latex.inline_includes("main.tex", files) == "BCED" and latex.inline_includes("main.tex", files | {"main.tex": r"\includeonly{b}\include{sec/b}"}) == "B"
+    assert latex.safe_parts("../a/./b.tex") == ["a", "b.tex"] and latex.include_name(" {x/y.tex} ") == "x/y"
+
+
+def test_whole_entries_and_items(spark):
+    got = list(bibtex.whole_entries("@article {k, year=2020, title = {A\n  B}}\n@misc{nokey}\n"))
+    assert got == [{"title": "A B", "year": "2020", "key": "k", "raw": "@article {k, year=2020, title = {A B}}"}]
+    rows = papers.bibitem_rows(bibtex.parse_items(spark.createDataFrame([("p", MAIN), ("q", None)], "paper_id string, content string"))).collect()
+    assert sorted((r["paper_id"], r["key"], r["year"]) for r in rows) == [("p", "a", "2019"), ("p", "b", "2019")] and rows[0]["title_tokens"] == ["deep", "nets"]
