@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.llm import minhash, mixing, pii, quality, sentencepiece
-from refweave.llm.common import delete, intermediates, materialize, same_columns
+from refweave.llm.common import delete, intermediates, materialize, prepared, same_columns
 
 #: Columns that stages read or write; all others are out of their operators' sight.
 OWN = ("doc_id", "text", "source", "n_chars")
@@ -22,6 +22,7 @@ OWN = ("doc_id", "text", "source", "n_chars")
 
 def aside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`stage` applied while further columns bear names that none of its operators adds."""
+    prepared(docs.sparkSession)
     other = {c: f"_column_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
     hidden = docs.withColumnsRenamed(other)
     return same_columns(same_columns(stage(hidden), hidden).withColumnsRenamed({v: k for k, v in other.items()}), docs)
@@ -49,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as piece ids, with the text that the ids decode to."""
+    prepared(spark)
     return sentencepiece.recode(docs).withColumns({"n_ids": F.size("ids").cast("long"), "n_chars": F.length("text").cast("long")})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 import uuid
@@ -28,6 +29,29 @@ def made() -> list[str]:
     return _here.made
 
 
+#: Spark's setting for the bytes of an Arrow batch, its default, and what queries and pipeline stages ask for.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """`spark` with Arrow batches of at most BATCH_BYTES, unless they have been bounded already.
+
+    The JVM keeps buffers of the size of its largest batches beside the heap. Queries and pipeline stages ask for this;
+    operators leave the session as it is.
+    """
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return spark
+
+
+def let_go() -> None:
+    """Give free memory back, in a Python worker that Spark may hand on to another stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where it is unset, one of our own on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import intermediates, materialize, private, runs, text_of
+from .common import intermediates, let_go, materialize, private, runs, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -74,6 +74,12 @@ def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _held[0]
 
 
+def release() -> None:
+    """Let go of what a partition has needed."""
+    _held[0] = powers(1 << 10)
+    let_go()
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of each word of the documents data[offsets[i]:offsets[i + 1]], in order."""
     if not len(data):
@@ -211,6 +217,7 @@ def bands(nodes: DataFrame) -> DataFrame:
                 full = np.isfinite(sig[:, 0])
                 keys = band_keys(sig[full])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[a:b][full], BANDS)), pa.array(keys.ravel())], ["node", "key"])
+        release()
 
     return nodes.mapInArrow(made, "node long, key long")
 
@@ -245,6 +252,7 @@ def verified(links: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
                         last, known = c, multiset(centre)
                     good.append(overlap(multiset(text), known) >= similarity - 1e-12 and x is not None)
                 yield batch.slice(low, high - low).select(["node", "centre"]).filter(pa.array(good, pa.bool_()))
+        release()
 
     return materialize(right.mapInArrow(checked, "node long, centre long"), "links")
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, htmltext, minhash, mixing, pii, quality, secrets, sentencepiece, urls, warc
+from .common import prepared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

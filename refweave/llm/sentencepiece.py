@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import runs
+from .common import let_go, runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -500,6 +500,7 @@ def mapped(df: DataFrame, from_: str, added: list[tuple[str, T.DataType]], make:
             for a, b in runs(column, most=ENCODED):
                 made = make(coder.value, column.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], *made], [*rest, *names])
+        let_go()
 
     return df.mapInArrow(run, schema)
 
