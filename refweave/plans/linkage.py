@@ -7,23 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import build_text
 from ..operators import matching, model, ranking, splits
+from ..operators.shared import shared
 from ..schemas import Settings
 from ..sources import bibtex, papers
 
 
-def parse(spark: SparkSession, root: str, shared: str | None = None) -> dict[str, DataFrame]:
+def parse(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """parsed (one row a paper), bibitems, references, skipped (paper_id, error).
 
-    Papers without a tex folder give rows, too: those of their refs.bib. shared: a folder for the parsed papers, which are
-    kept in memory otherwise.
+    Papers without a tex folder give rows, too: those of their refs.bib. Papers are parsed once, into the shared folder.
     """
     files = papers.paper_files(spark, root)
-    parsed = papers.parse_papers(files)
-    if shared is None:
-        parsed = parsed.cache()
-    else:
-        parsed.write.mode("overwrite").parquet(shared)
-        parsed = spark.read.parquet(shared)
+    parsed = shared(papers.parse_papers(files), "parsed")
     untold = files.where("path = 'refs.bib' and version is null").join(files.where("version is not null").select("paper_id").distinct(), "paper_id", "left_anti")
     texts = parsed.where("refs_bib is not null").select("paper_id", F.col("refs_bib").alias("content")).unionByName(untold.select("paper_id", F.col("content").cast("string").alias("content")))
     return {
@@ -56,7 +51,7 @@ def train(split: DataFrame, params: model.Params | None = None, trials: int = 0)
     if trials:
         params, _ = model.search(part("train"), part("val"), trials)
     fitted = model.fit(part("train").unionByName(part("val")), params)
-    test = model.predict(fitted, part("test")).cache()
+    test = shared(model.predict(fitted, part("test")), "predicted")
     report, confusion = model.evaluate(test)
     truth = splits.ground_truth(part("test")).withColumnRenamed("cand_id", "truth")
     stored = splits.predictions_file(split)

@@ -166,8 +166,10 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def malformed(spark: SparkSession, path: str, schema: str) -> int:
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.cache().where("_bad is not null").count()
+    """How many lines are no JSON of this schema; empty lines are none."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(read.alias("x")).where("x._bad is not null").count()
 
 
 def read_manual(spark: SparkSession, path: str | None) -> DataFrame:
