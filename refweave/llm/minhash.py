@@ -7,15 +7,14 @@ inside the interval keep just the points below them (the hierarchical split). A
 that reaches it; a stream stops once its time is past the largest component. Two signatures agree in a component with
 probability sum(min) / sum(max) of the weights.
 
-Signatures are cut into bands, and links are verified on the multisets in three rounds. First every text with the main
-centre of most of its band values: of a value's texts the one that shares most values with others, which in a family of
-copies is the text nearest to all; so a group of n copies costs about n verifications. Then, where the ends are not yet in
-one group, with the main centres of its other values and with a second centre of each value, picked by hash. Last, where
-the texts of a band value are still in several groups, every two of them of different groups are compared (`crossed`): all
-texts that share a main centre at once, or each value for itself, whichever are fewer pairs, in blocks of bounded size that
-give back no more links than join their groups. So any two texts that share a band value are in one group or have been
-compared, and no pair list is ever made. The last round takes time with the square of a family's size, if its texts are like
-each other but just not similar enough.
+Signatures are cut into bands, and links are verified on the multisets in two rounds. First every text with the main centre
+of each of its band values: of a value's texts the one that shares most values with others, which in a family of copies is the
+text nearest to all; the values of a family have few centres between them, so a group of n copies costs a few verifications a
+copy. Then, where the texts of a band value are still in several groups, every two of them of different groups are compared
+(`crossed`): all texts that share a main centre at once, or each value for itself, whichever are fewer pairs, in blocks of
+bounded size that give back no more links than join their groups. So any two texts that share a band value are in one group or
+have been compared, and no pair list is ever made. The second round takes time with the square of a family's size, if its texts
+are like each other but just not similar enough.
 
 Defined results: a null text is empty; equal texts are copies, empty ones included; a text of one to four words is one
 shingle of all its words; a text without words is like no other text; a group's id is its smallest doc_id (nulls last);
@@ -400,13 +399,9 @@ def linked_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     # Who shares most band values with others is most like them: the first centre of each of its values.
     ties = shared.groupBy(again(F.col("node")).alias("node")).agg(F.sum("n").alias("ties"))
     known = shared.join(ties, "node")
-    centres = known.groupBy(again(F.col("key")).alias("key")).agg(F.max_by("node", F.struct("ties", "node")).alias("main"), F.max_by("node", F.xxhash64("node", "key")).alias("other"))
-    linked = materialize(shared.join(centres, "key").select("node", "key", "main", "other"), "linked")
-    pairs = linked.select(
-        "node",
-        F.explode(F.array(F.struct(F.col("main").alias("centre"), F.lit(1).alias("is_main")), F.struct(F.col("other").alias("centre"), F.lit(0).alias("is_main")))).alias("c"),
-    ).select("node", "c.*")
-    met = materialize(pairs.where("node <> centre").groupBy("node", "centre").agg(F.sum("is_main").alias("n")), "candidates")
+    centres = known.groupBy(again(F.col("key")).alias("key")).agg(F.max_by("node", F.struct("ties", "node")).alias("main"))
+    linked = materialize(shared.join(centres, "key").select("node", "key", "main"), "linked")
+    met = materialize(linked.where("node <> main").select("node", F.col("main").alias("centre")).distinct(), "candidates")
     # Texts that share a band value, one row each, picked by text and id so that copies do not meet.
     ends = shared.select("node").distinct()
     wanted = materialize(
@@ -416,19 +411,8 @@ def linked_groups(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     own = docs.select("_node", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "text")
     # One plan at every size: the texts are dealt by key, whether or not the wanted keys would fit a broadcast today.
     texts = materialize(own.join(wanted.hint("merge"), ["_node", "_id"], "left_semi").dropDuplicates(["_node", "_id"]).select(F.col("_node").alias("node"), "text"), "texts")
-    first = met.where("n > 0").groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
-    links = verified(first, texts, similarity)
+    links = verified(met, texts, similarity)
     roots = components(links)
-    # What the first round left open: links between texts that are not in one group yet.
-    rest = met.join(first, ["node", "centre"], "left_anti").select("node", "centre")
-    for side in ("node", "centre"):
-        rest = rest.join(roots.select(again(F.col("node")).alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    rest = materialize(rest.where("_node <> _centre").select("node", "centre"), "rest")
-    if not rest.isEmpty():
-        more = verified(rest, texts, similarity)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
     # Texts that are like each other may both be unlike their centres.
     more = crossed(linked, roots, texts, similarity)
     if not more.isEmpty():
