@@ -160,3 +160,13 @@ def test_one_pass_ranks_equal_two(spark):
     rows = spark.createDataFrame([("p", f"k{k}", f"r{c}", rng.choice([0.1, 0.5, 0.9]), int(rng.random() < 0.2), c) for k in range(40) for c in range(9)], "paper_id string, bib_key string, cand_id string, score double, label int, ord int")
     one = {(r["bib_key"], r["rr"]) for r in ranking.first_positive_ranks(rows, "score").collect()}
     assert one == {(r["bib_key"], r["rr"]) for r in ranking.reciprocal_ranks(rows, ranking.first_positive(rows), "score").collect()}
+
+
+def test_pairs_of_repeated_ids_have_their_own_features(spark):
+    bib = bib_rows(spark, [("p", 0, "k", "deep nets", ["ann lee"], "2020", "")])
+    ref = ref_rows(spark, [("p", 0, "r", "deep nets", ["ann lee"], "2020"), ("p", 1, "r", "other thing", ["cy dee"], "2001")])
+    got = matching.block_features(bib, ref, ("year_diff", "jaccard")).collect()
+    assert sorted((r["bib_key"], r["cand_id"], r["year_diff"], r["jaccard"]) for r in got) == [("k", "r", 0, 1.0), ("k", "r", 19, 0.0)]
+    pairs = spark.createDataFrame([("p", "k", "r")], "paper_id string, bib_key string, cand_id string")
+    assert sorted(r["year_diff"] for r in matching.with_features(pairs, bib, ref, ("year_diff",), last=False).collect()) == [0, 19]
+    assert [r["year_diff"] for r in matching.with_features(pairs, bib, ref, ("year_diff",)).collect()] == [19]
