@@ -1,6 +1,7 @@
 """Matching, splits, ranking and figures on small tables."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,38 @@ def test_ranks_of_a_truth_listed_twice(spark):
     assert sorted(r["rr"] for r in ranking.first_positive_ranks(rows, "score", each=True).collect()) == [0.5, 1.0]
     assert [r["rr"] for r in ranking.first_positive_ranks(rows, "score").collect()] == [1.0]
     assert [r["rr"] for r in ranking.first_positive_ranks(rows, "score", k=1, each=True).collect()] == [1.0]
+
+
+def test_pairs_are_ranked_where_they_are_made(spark, sides):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = matching.label(matching.score_pairs(*sides), 0.7).withColumn("ord", F.col("r_ord"))
+        for rows in (pairs, ranking.top_k(pairs, "score"), ranking.first_positive_ranks(pairs, "score"), sampling.negatives(pairs, 3)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and not re.findall(r"hashpartitioning\(paper_id#\d+, [a-z]", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_products_of_vectors_equal_the_join_of_terms(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(f"p{p}", s, o, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "x"], k=o))) for p in range(3) for s in "br" for o in range(6)], "paper_id string, side string, ord int, text string")
+    weighed = tfidf.weights(rows)
+    split = tfidf.weights(rows, fitted_on=rows)
+    key = lambda df: {(r["paper_id"], r["side"], r["ord"], r["term"]): pytest.approx(r["weight"]) for r in df.collect()}
+    assert key(weighed) == {k: v.expected for k, v in key(split).items()}
+    v = tfidf.vectors(weighed)
+    side = lambda s: v.where(F.col("side") == s).select("paper_id", F.col("ord").alias(f"{s}_ord"), F.col("vector").alias(s))
+    got = side("b").join(side("r"), "paper_id").withColumn("cosine", tfidf.product(F.col("b"), F.map_from_entries("r"))).where("cosine > 0")
+    key = lambda df: {(r["paper_id"], r["b_ord"], r["r_ord"]): r["cosine"] for r in df.collect()}
+    want = key(tfidf.cosine(weighed))
+    assert want and key(got) == {k: pytest.approx(x) for k, x in want.items()}
+
+
+def test_features_of_scored_pairs_are_of_their_own_rows(spark):
+    bib = bib_rows(spark, [("p", 0, "k", "deep nets", ["ann lee"], "2020", "")])
+    ref = ref_rows(spark, [("p", 0, "r", "deep nets", ["ann lee"], "2020"), ("p", 1, "r", "other thing", ["cy dee"], "2001")])
+    rows = matching.score_pairs(bib, ref, plain_sides=True)
+    assert sorted((r["year_diff"], r["char_ngram_3"]) for r in matching.scored_features(rows).collect()) == [(0, 1.0), (19, 0.0)]
+    assert [r["year_diff"] for r in matching.scored_features(rows.where("score = 1")).collect()] == [0]
