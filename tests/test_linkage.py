@@ -213,3 +213,9 @@ def test_features_of_scored_pairs_are_of_their_own_rows(spark):
     rows = matching.score_pairs(bib, ref, plain_sides=True)
     assert sorted((r["year_diff"], r["char_ngram_3"]) for r in matching.scored_features(rows).collect()) == [(0, 1.0), (19, 0.0)]
     assert [r["year_diff"] for r in matching.scored_features(rows.where("score = 1")).collect()] == [0]
+
+
+def test_quartiles_count_equal_values(spark):
+    rows = spark.createDataFrame([(1, 0.1)] * 5 + [(1, 0.2), (1, 0.4), (0, 1.0)], "label int, x double")
+    assert {r["label"]: (r["q1"], r["median"], round(r["q3"], 6)) for r in stats.quartiles(rows, "x", "label").collect()} == {1: (0.1, 0.1, 0.15), 0: (1.0, 1.0, 1.0)}
+    assert stats.quartiles(rows, "x", "label")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
