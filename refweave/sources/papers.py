@@ -40,8 +40,8 @@ def paper_list(files: DataFrame, start: str | None = None, number: int | None =
     return ids.orderBy("paper_id") if number is None else ids.orderBy("paper_id").limit(number)
 
 
-def parse_one(paper: str, versions: dict[str, dict[str, str]]) -> dict:
-    """A paper's versions in order of their names, one numbering of elements for all.
+def parse_parts(paper: str, versions: dict[str, dict[str, str]]) -> dict:
+    """A paper's versions in order of their names, one numbering of elements for all: elements, hierarchy, refs_bib.
 
     A version without a main file stands in the hierarchy as an empty one, and its .bib files do not count.
     """
@@ -63,19 +63,28 @@ def parse_one(paper: str, versions: dict[str, dict[str, str]]) -> dict:
         latex.parse_document(tree, latex.strip_references(bibtex.remap_cites(tex, alias)))
         hierarchy[str(n)] = tree.parents()
     fields, _ = bibtex.canonical(items)
-    return {
-        "hierarchy": json.dumps({"elements": tree.elements, "hierarchy": hierarchy}, ensure_ascii=False),
-        "refs_bib": bibtex.refs_bib(contents, fields), "n_versions": len(hierarchy), "error": None,
-    }
+    return {"elements": tree.elements, "hierarchy": hierarchy, "refs_bib": bibtex.refs_bib(contents, fields)}
+
+
+def parse_one(paper: str, versions: dict[str, dict[str, str]]) -> dict:
+    """parse_parts() as a row of PARSED."""
+    parts = parse_parts(paper, versions)
+    tree = {k: parts[k] for k in ("elements", "hierarchy")}
+    return {"hierarchy": json.dumps(tree, ensure_ascii=False), "refs_bib": parts["refs_bib"], "n_versions": len(parts["hierarchy"]), "error": None}
+
+
+def versions_of(pdf: pd.DataFrame) -> dict[str, dict[str, str]]:
+    versions: dict[str, dict[str, str]] = {}
+    for v, p, c in zip(pdf.version, pdf.path, pdf.content, strict=True):
+        versions.setdefault(v, {})[p] = bytes(c).decode("utf-8", "ignore")
+    return versions
 
 
 def parse_papers(files: DataFrame) -> DataFrame:
     """One row a paper: hierarchy (JSON), refs_bib, n_versions; error tells why a paper was skipped."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        versions: dict[str, dict[str, str]] = {}
-        for v, p, c in zip(pdf.version, pdf.path, pdf.content, strict=True):
-            versions.setdefault(v, {})[p] = bytes(c).decode("utf-8", "ignore")
+        versions = versions_of(pdf)
         try:
             row = parse_one(key[0], versions)
         except Exception as e:  # a broken paper must not stop the others
@@ -85,6 +94,27 @@ def parse_papers(files: DataFrame) -> DataFrame:
     return files.where("version is not null").groupBy("paper_id").applyInPandas(run, PARSED)
 
 
+def paper_elements(files: DataFrame) -> DataFrame:
+    """(paper_id, id, parent, text) of all elements, a row a version that has them under a parent, in one pass over the files.
+
+    The rows are those of hierarchy_tables()' elements with their edges; papers with errors have none.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        versions = versions_of(pdf)
+        try:
+            parts = parse_parts(key[0], versions)
+        except Exception:  # as in parse_papers, which tells why
+            parts = {"elements": {}, "hierarchy": {}}
+        ups = list(parts["hierarchy"].values())
+        rows = [(id_, parent, text) for id_, text in parts["elements"].items() for parent in ([up[id_] for up in ups if id_ in up] or [None])]
+        made = pd.DataFrame(rows, columns=["id", "parent", "text"], dtype=object)
+        made.insert(0, "paper_id", key[0])
+        return made
+
+    return files.where("version is not null").groupBy("paper_id").applyInPandas(run, "paper_id string, id string, parent string, text string")
+
+
 def hierarchy_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements(paper_id, id, text), edges(paper_id, version, child, parent))."""
     tree = F.from_json("hierarchy", "elements map<string,string>, hierarchy map<string,map<string,string>>")

@@ -199,3 +199,15 @@ def test_whole_entries_and_items(spark):
     assert got == [{"title": "A B", "year": "2020", "key": "k", "raw": "@article {k, year=2020, title = {A B}}"}]
     rows = papers.bibitem_rows(bibtex.parse_items(spark.createDataFrame([("p", MAIN), ("q", None)], "paper_id string, content string"))).collect()
     assert sorted((r["paper_id"], r["key"], r["year"]) for r in rows) == [("p", "a", "2019"), ("p", "b", "2019")] and rows[0]["title_tokens"] == ["deep", "nets"]
+
+
+def test_elements_in_one_pass_equal_the_two_tables(spark):
+    tex = "\\documentclass{article}\\begin{document}\\section{One}\nA first. B second.\n%s\\end{document}"
+    rows = [("p1", "v1", "main.tex", tex % ""), ("p1", "v2", "main.tex", tex % "\\section{Two}\nB second. C\u2003third."), ("p2", "v1", "main.tex", tex % "D."), ("p2", "v2", "x.bib", ""), ("p3", None, "refs.bib", "")]
+    files = spark.createDataFrame([(a, b, c, d.encode()) for a, b, c, d in rows], "paper_id string, version string, path string, content binary")
+    elements, edges = papers.hierarchy_tables(papers.parse_papers(files))
+    joined = elements.join(edges, [elements.paper_id == edges.paper_id, elements.id == edges.child], "left").select(elements.paper_id, "id", "parent", "text")
+    made = papers.paper_elements(files)
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert order(made) == order(joined) and made.where("parent is null").count() == 2 and made.where("text = 'B second.'").count() == 3
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroups") == 1
