@@ -7,8 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from refweave.functions.features import ngrams
 from refweave.operators import matching, model, ranking, sampling, splits, stats, tfidf
-from refweave.plans import queries
+from refweave.plans import queries, views
 from refweave.schemas import Settings
 
 BIB = "paper_id string, ord int, key string, title_tokens array<string>, authors_norm array<string>, year string, arxiv string, note_norm string, text string"
@@ -260,3 +261,44 @@ FEATURE_QUERIES = [
 def test_queries_equal_their_sql_where_ids_repeat(spark, repeated, name):
     got, want = rounded(map(tuple, queries.QUERIES[name](spark, repeated).collect())), rounded(sql_rows(repeated, queries.ORACLES[name]))
     assert len(got) == 1650 and got == want
+
+
+def test_cosines_by_place_equal_the_join_of_terms(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(f"p{p}", s, 3 * o, " ".join(rng.choices(["aa", "bb", "été", "dd", "ee", "x"], k=o))) for p in range(3) for s in "br" for o in range(7)]
+    rows += [("only b", "b", 0, "aa"), ("only r", "r", 0, "aa"), ("none", "b", 0, "x"), ("none", "r", 0, "")]
+    weighed = tfidf.weights(spark.createDataFrame(rows, "paper_id string, side string, ord int, text string"))
+    want = {(r["paper_id"], r["b_ord"], r["r_ord"]): r["cosine"] for r in tfidf.cosine(weighed).collect()}
+    termed = {(r["paper_id"], r["side"], r["ord"]) for r in weighed.collect()}
+    for held in (1, 20, tfidf.HELD):  # batches of one entry, of a few and of all
+        monkeypatch.setattr(tfidf, "HELD", held)
+        made = tfidf.cosines(weighed).collect()
+        place = {(r["paper_id"], r["side"], r["pos"]): r["ord"] for r in made}
+        assert {(r["paper_id"], r["side"], r["ord"]) for r in made} == termed and len(made) == len(place) == len(termed)
+        got = {(r["paper_id"], r["ord"], place[r["paper_id"], "r", i]): x for r in made if r["side"] == "b" for i, x in enumerate(r["cosines"]) if x}
+        assert want and got == {k: pytest.approx(x) for k, x in want.items()}
+
+
+def test_ngrams_read_their_text_once():
+    made = ngrams(F.col("text"), 3)._jc.toString()
+    assert made.count("regexp_replace") == 1
+
+
+@pytest.mark.parametrize("name", ["feat_all", "training_sample", "greedy_assignment", "score_reasons", "weak_labels"])
+def test_words_of_documents_are_found_once(spark, repeated, monkeypatch, name):
+    calls, documents = [], views.documents
+    monkeypatch.setattr(views, "documents", lambda *a: calls.append(a) or documents(*a))
+    queries.QUERIES[name](spark, repeated)
+    assert len(calls) == 1
+
+
+SCORED_QUERIES = [
+    "greedy_assignment", "hard_negatives", "histogram_by_label", "label_counts", "pred_json", "rows_per_paper", "score_pairs", "score_reasons", "split_counts",
+    "training_sample", "weak_labels",
+]
+
+
+@pytest.mark.parametrize("name", SCORED_QUERIES)
+def test_scored_queries_equal_their_sql_where_ids_repeat(spark, repeated, name):
+    rows = queries.QUERIES[name](spark, repeated)
+    assert rounded(map(tuple, rows.collect())) == rounded(sql_rows(repeated, f"select {', '.join(rows.columns)} from ({queries.ORACLES[name]})"))
